@@ -77,9 +77,11 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, head: int | None = None) -> np.ndarray:
+        """One hash a word, of its first ``head`` bytes if given; A-Z as a-z if ``lower``."""
         value = BYTE_VALUE_LOWER if lower else BYTE_VALUE
         out, w, n = np.empty(len(self.start), dtype=U), 0, len(self.start)
+        stop = self.end if head is None else np.minimum(self.end, self.start + head)
         while w < n:
             base = self.start[w]
             to = max(w + 1, int(np.searchsorted(self.end, base + CHUNK, side="right")))
@@ -88,7 +90,7 @@ class Words:
             piece *= up[: len(piece)]
             sums = np.zeros(len(piece) + 1, dtype=U)
             np.cumsum(piece, out=sums[1:])
-            s, e = self.start[w:to] - base, self.end[w:to] - base
+            s, e = self.start[w:to] - base, stop[w:to] - base
             out[w:to] = (sums[e] - sums[s]) * down[s]
             w = to
         return mix(out)
