@@ -5,11 +5,58 @@ from __future__ import annotations
 from stratalith.llm.common import table
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_scaled_fingerprint(spark, sf_dir):
+    from stratalith.llm.fingerprint import fingerprints_with_neighbour
+
+    return fingerprints_with_neighbour(table(spark, sf_dir, "documents"))
+
+
+def op3_token_count(spark, sf_dir):
+    from stratalith.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer(), limit=512)
+
+
+def op4_differencing_pack(spark, sf_dir):
+    from stratalith.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024)
+
+
+def op6_pu_toxicity(spark, sf_dir):
+    from stratalith.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    from stratalith.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("kept_text")
+
+
 def op10_minmax_near_dedup(spark, sf_dir):
     from stratalith.llm.minmax_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op10_minmax_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_scaled_fingerprint,
+        op3_token_count,
+        op4_differencing_pack,
+        op6_pu_toxicity,
+        op7_substring_dedup,
+        op10_minmax_near_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
