@@ -29,6 +29,12 @@ def op4_differencing_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024)
 
 
+def op5_fuzzy_line_dedup(spark, sf_dir):
+    from stratalith.llm.line_dedup import deduplicated_lines
+
+    return deduplicated_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_pu_toxicity(spark, sf_dir):
     from stratalith.llm.toxicity import score, train
 
@@ -54,6 +60,7 @@ QUERIES = {
         op1_scaled_fingerprint,
         op3_token_count,
         op4_differencing_pack,
+        op5_fuzzy_line_dedup,
         op6_pu_toxicity,
         op7_substring_dedup,
         op10_minmax_near_dedup,
