@@ -45,7 +45,13 @@ def op6_pu_toxicity(spark, sf_dir):
 def op7_substring_dedup(spark, sf_dir):
     from stratalith.llm.substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20, with_text=False)
+
+
+def op9_feistel_pseudonyms(spark, sf_dir):
+    from stratalith.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"))
 
 
 def op10_minmax_near_dedup(spark, sf_dir):
@@ -63,6 +69,7 @@ QUERIES = {
         op5_fuzzy_line_dedup,
         op6_pu_toxicity,
         op7_substring_dedup,
+        op9_feistel_pseudonyms,
         op10_minmax_near_dedup,
     )
 }
