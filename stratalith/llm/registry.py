@@ -48,6 +48,12 @@ def op7_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), window=20, with_text=False)
 
 
+def op8_temperature_mix(spark, sf_dir):
+    from stratalith.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
+
+
 def op9_feistel_pseudonyms(spark, sf_dir):
     from stratalith.llm.pii import pseudonymise
 
@@ -69,6 +75,7 @@ QUERIES = {
         op5_fuzzy_line_dedup,
         op6_pu_toxicity,
         op7_substring_dedup,
+        op8_temperature_mix,
         op9_feistel_pseudonyms,
         op10_minmax_near_dedup,
     )
