@@ -17,6 +17,12 @@ def op1_scaled_fingerprint(spark, sf_dir):
     return fingerprints_with_neighbour(table(spark, sf_dir, "documents"))
 
 
+def op2_nn_descent_dedup(spark, sf_dir):
+    from stratalith.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_count(spark, sf_dir):
     from stratalith.llm.token_count import token_counts
 
@@ -70,6 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_scaled_fingerprint,
+        op2_nn_descent_dedup,
         op3_token_count,
         op4_differencing_pack,
         op5_fuzzy_line_dedup,
