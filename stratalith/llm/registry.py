@@ -5,7 +5,7 @@ from __future__ import annotations
 from stratalith.llm.common import table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -26,13 +26,13 @@ def op2_nn_descent_dedup(spark, sf_dir):
 def op3_token_count(spark, sf_dir):
     from stratalith.llm.token_count import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer(), limit=512)
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
 def op4_differencing_pack(spark, sf_dir):
     from stratalith.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
 
 
 def op5_fuzzy_line_dedup(spark, sf_dir):
