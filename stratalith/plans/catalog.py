@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from stratalith.plans import knowledge
+
+MODULES = (knowledge,)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
