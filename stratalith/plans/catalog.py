@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import knowledge
+from stratalith.plans import knowledge, retrieval
 
-MODULES = (knowledge,)
+MODULES = (knowledge, retrieval)
 
 
 def queries() -> dict:

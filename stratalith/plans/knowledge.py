@@ -188,13 +188,13 @@ def rule_concepts(spark, d):
     return _one(RULE_CONCEPT, facts(spark, d))
 
 
-@query("""SELECT p_partkey, p_brand FROM part WHERE p_brand >= 'Brand#2' AND p_brand < 'Brand#4' AND contains(p_type, 'E') AND regexp_matches(p_name, '[0-9]+$') AND p_brand <> 'Brand#33'""")
+@query("""SELECT p_partkey, p_brand FROM part WHERE p_brand >= 'Brand#2' AND p_brand < 'Brand#4' AND contains(p_type, 'E') AND regexp_matches(p_name, 't$') AND p_brand <> 'Brand#3'""")
 def rule_filters(spark, d):
     base = table(spark, d, "part").select(F.lit("part").alias("predicate"), F.array(F.col("p_partkey").cast("string"), "p_brand", "p_type", "p_name").alias("args"))
     f = rules.Filter
     rule = rules.Rule(
         "F1", rules.Atom("hit", ("?k", "?b")), (rules.Atom("part", ("?k", "?b", "?t", "?n")),),
-        (f("gte", "?b", "Brand#2"), f("lt", "?b", "Brand#4"), f("contains", "?t", "E"), f("matches", "?n", "[0-9]+$"), f("neq", "?b", "Brand#33")),
+        (f("gte", "?b", "Brand#2"), f("lt", "?b", "Brand#4"), f("contains", "?t", "E"), f("matches", "?n", "t$"), f("neq", "?b", "Brand#3")),
     )
     return rules.bindings(rule, [base]).select(F.col("`?k`").cast("long").alias("p_partkey"), F.col("`?b`").alias("p_brand"))
 
