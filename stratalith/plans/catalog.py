@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import knowledge, retrieval
+from stratalith.plans import artifacts, knowledge, retrieval
 
-MODULES = (knowledge, retrieval)
+MODULES = (knowledge, retrieval, artifacts)
 
 
 def queries() -> dict:
