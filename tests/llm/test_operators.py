@@ -1,0 +1,352 @@
+"""Each operator against brute force on small tables with nulls, empty texts, ties, repeats and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from stratalith.llm import embedding_dedup, fingerprint, hashing, line_dedup, linking, minmax_dedup, mixing, packing, pii, substring_dedup, token_count, toxicity
+from stratalith.llm.components import components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, n int, rep int, c int, block int, bucket int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return Tokenizer.from_file(PATH)
+
+
+def corpus() -> list[tuple[int, str | None]]:
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioknrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    text = lambda n: "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(n))
+    docs: list[str | None] = [text(rng.randint(1, 12)) for _ in range(40)]
+    base = text(10).split(" ")
+    for _ in range(12):  # near copies of one base
+        own = list(base)
+        for i in rng.sample(range(len(own)), 3):
+            own[i] = rng.choice(words)
+        docs.append(" ".join(own))
+    docs += [docs[3], docs[3], docs[7] + "\n" + docs[8], None, "", "  \n\t ", "one", "ONE", "é à  ü", "a b", "<|endoftext|> x <|endoftext|>"]
+    return list(enumerate(docs))
+
+
+def frame(spark, rows):
+    filler = ("en", "s1", 0, "x", 1, 2, 3, 4, 5, 6)
+    return spark.createDataFrame([(i, t, *filler) for i, t in rows], SCHEMA)
+
+
+def sets(rows, k, lower=True):
+    out = {}
+    for i, t in rows:
+        w = WORD.findall("".join(c.lower() if lower and "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    return out
+
+
+def closed(ids, links):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é\t\n\x0b　.Z"), max_size=30), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_words(texts):
+    import pyarrow as pa
+
+    found = hashing.Words(pa.array(texts, pa.string()))
+    assert [bytes(found.data[s:e]).decode() for s, e in zip(found.start, found.end)] == [w for t in texts for w in WORD.findall(t)]
+    assert found.counts.tolist() == [len(WORD.findall(t)) for t in texts]
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(40)]
+    want = closed({x for p in links for x in p}, links)
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()))
+    assert got == {n: want[n] for n in {x for p in links if p[0] != p[1] for x in p}}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_fingerprint(spark):
+    rows = corpus()
+    out = fingerprint.fingerprints_with_neighbour(frame(spark, rows).repartition(3)).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows)
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + u[:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].edited_fingerprint == fingerprint.Sketch(edited).text()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[3].fingerprint == got[52].fingerprint and got[52].near_next == 1
+    assert fingerprint.fingerprints_with_neighbour(frame(spark, [])).count() == 0
+    assert fingerprint.fingerprints_with_neighbour(frame(spark, [(None, "abc"), (1, "abc"), (1, "abc")])).count() == 3
+
+
+def test_fingerprint_estimates_and_merges(spark):
+    rng = random.Random(2)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(20000)) for _ in range(2))
+    x, y = fingerprint.Sketch(a), fingerprint.Sketch(a[:4000] + b[:4000])
+    assert abs(y.containment(x) - 0.5) < 0.1 and x.likeness(x) == 1
+    df = spark.createDataFrame([("l", a[:10000]), ("l", a[9900:]), ("r", a)], "k string, t string")
+    merged = fingerprint.merged(fingerprint.sketches(df, F.col("k"), F.col("t")))
+    found = fingerprint.containments(merged.where("key = 'l'"), merged.where("key = 'r'")).first()
+    assert found.containment > 0.98
+
+
+def test_token_counts(spark, reference):
+    rows = corpus() + [(1000, "x" * 5000), (1001, "  \n\n  a　b 12345 don't I'LL 🙂🙂"), (None, "null id"), (1001, "again")]
+    out = token_count.token_counts(frame(spark, rows), PATH).collect()
+    want = sorted((str(i), len((t or "").encode()), len(reference.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in out) == want
+    assert all(r.over_limit == (r.n_tokens > 512) for r in out)
+    assert token_count.token_counts(frame(spark, []), PATH).count() == 0
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_token_counts_of_any_text(text):
+    tool = Tokenizer.from_file(PATH) if not hasattr(test_token_counts_of_any_text, "t") else test_token_counts_of_any_text.t
+    test_token_counts_of_any_text.t = tool
+    ids = tool.encode(text, add_special_tokens=False).ids
+    assert token_count.merger(PATH).count(text) == len(ids)
+    assert packing.encoder(PATH)(text).tolist() == ids
+
+
+@given(st.lists(st.integers(1, 400), min_size=0, max_size=60), st.integers(1, 12))
+@settings(max_examples=60, deadline=None)
+def test_differencing_holds_every_item_once(sizes, k):
+    windows = packing.differencing(np.array(sizes, dtype=np.int64), k)
+    assert len(windows) == k and sorted(itertools.chain(*windows)) == list(range(len(sizes)))
+    if sizes:
+        loads = [sum(sizes[i] for i in w) for w in windows]
+        assert max(loads) - min(loads) <= max(sizes)
+
+
+def test_packing(spark, reference):
+    rows = corpus() + [(1000, "word " * 5000), (None, "null id")]
+    pieces = packing.pack(frame(spark, rows), PATH).collect()
+    by_doc, by_window = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_window.setdefault(p.sequence_id, []).append(p)
+    for i, t in rows:
+        ids = np.array([*reference.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        for p in sorted(by_doc[i], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    for window in by_window.values():
+        at = 0
+        for p in sorted(window, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+    loads = [sum(p.length for p in w) for w in by_window.values()]
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in loads) <= 0.02 * sum(loads)
+    assert packing.pack(frame(spark, []), PATH).count() == 0
+
+
+def brute_removed(rows, k):
+    seen, out = set(), {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for s in range(len(w) - k + 1):
+            if (g := tuple(w[s : s + k])) in seen:
+                gone[s : s + k] = [True] * k
+            seen.add(g)
+        kept = " ".join(x for x, z in zip(w, gone) if not z)
+        out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_substrings(spark, k):
+    rows = corpus() + [(900, "a a a a a a a a"), (901, "ha " * 100)]
+    out = substring_dedup.remove_repeats(frame(spark, rows).repartition(4), window=k).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in out} == brute_removed(rows, k)
+    assert substring_dedup.remove_repeats(frame(spark, []), window=k).count() == 0
+
+
+def test_substrings_of_repeated_rows(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    out = substring_dedup.remove_repeats(frame(spark, [(1, t), (1, t), (None, t), (2, t)]), window=20).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in out) == [("1", 30), ("1", 30), ("2", 30), ("None", 0)]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, k):
+    rows = corpus()
+    s = sets(rows, k)
+    links = [(a, b) for a, b in itertools.combinations(s, 2) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    want = closed(s, links)
+    out = minmax_dedup.near_duplicates(frame(spark, rows), shingle=k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == {i: (len(s[i]), want[i], want[i] == i) for i in s}
+    assert minmax_dedup.near_duplicates(frame(spark, []), shingle=k).count() == 0
+    kept = minmax_dedup.keep_one(frame(spark, rows + [(None, "no id")]), shingle=k)
+    assert kept.columns == frame(spark, []).columns
+    assert kept.count() == sum(want[i] == i for i in s) + 1
+
+
+def test_links_across_components_are_not_lost(spark):
+    """A chain whose ends are unlike: every link must be found, whatever the pivots."""
+    member = [set(range(2 * i, 2 * i + 24)) for i in range(12)]
+    banded = spark.createDataFrame([(i, len(s), 7) for i, s in enumerate(member)], "rep long, n int, key long")
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(member)], "id long, set array<long>")
+    got = dict(map(tuple, linking.linked(banded, lambda ids, n: held.join(ids, "id", "left_semi"), 80).collect()))
+    assert got == {i: 0 for i in range(12)}
+
+
+def line_sets(line):
+    return {m.group(1) for m in re.finditer(r"(?s)(?=([^ \t\n\x0b\f\r].{0,9}))[^ \t\n\x0b\f\r]+", line)}
+
+
+def brute_lines(rows):
+    lines = {}
+    for _, t in rows:
+        for x in (t or "").split("\n"):
+            lines.setdefault(x, line_sets(x))
+    full = [x for x in lines if lines[x]]
+    number = {x: i for i, x in enumerate(full)}
+    links = [(number[a], number[b]) for a, b in itertools.combinations(full, 2) if 100 * len(lines[a] & lines[b]) >= 80 * len(lines[a] | lines[b])]
+    root, seen, out = closed(range(len(full)), links), set(), {}
+    for i, t in rows:
+        out[i] = []
+        for pos, x in enumerate((t or "").split("\n") if t else []):
+            if lines[x]:
+                if root[number[x]] in seen:
+                    out[i].append(pos)
+                seen.add(root[number[x]])
+    return out
+
+
+def test_lines(spark):
+    line = "the quick brown fox jumps over the lazy dog while seven small boats drift across a wide and quiet bay"
+    rows = corpus() + [(900, f"{line}\n\nshort one\n{line} again"), (901, f"short one\n{line}!\n\nnew"), (902, "A\nA\nB")]
+    want = brute_lines(rows)
+    out = line_dedup.deduplicated_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: r.removed for r in out} == want
+    assert {r.doc_id: r.n_lines for r in out} == {i: len(t.split("\n")) if t else 0 for i, t in rows}
+    texts = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(frame(spark, rows)).collect()}
+    for i, t in rows:
+        kept = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i]) if t else t
+        assert texts[i] == kept
+    assert line_dedup.deduplicated_lines(frame(spark, [])).count() == 0
+    assert line_dedup.deduplicated_lines(frame(spark, [(None, "x y z"), (1, "x y z"), (1, "x y z")])).count() == 3
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(3)
+    words, bad = [f"w{i}" for i in range(400)], ["vileone", "viletwo", "scumthree", "scumfour"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < 0.15
+        text = [rng.choice(words) for _ in range(40)]
+        if toxic:
+            text[5:5] = rng.sample(bad, 2)
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = frame(spark, [*rows, (5000, None), (5001, ""), (None, "vileone viletwo")]), spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, marks)).collect()
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in out if r.held_out and r.doc_id in truth]
+    assert len(out) == 1503 and len(held) > 200
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    nothing = toxicity.train(docs, marks.where("toxic = 0"))
+    assert {r.predicted for r in toxicity.score(docs, nothing).collect()} == {0}
+    assert toxicity.score(frame(spark, []), nothing).count() == 0
+
+
+def test_mixture(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "en", "hot" if i % 3 else f"s{i % 5}" if i % 7 else None, 0, "x", 1, 2, 3, 4, 5, 6) for i in range(900)] + [(9000, "", "en", "empty", 0, "x", 1, 2, 3, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    held: dict = {}
+    for r in rows:
+        held[r[3]] = held.get(r[3], 0) + len(r[1].split())
+    total = sum(held.values())
+    p = {s: h / total for s, h in held.items() if h}
+    out = mixing.mixture(docs, max_repetition=2.0).collect()
+    alpha = max(0.0, 1 - math.log(2) / math.log(max(p.values()) / min(p.values())))
+    want = {s: max(p.values()) ** (1 - alpha) * q**alpha * total for s, q in p.items()}
+    shown: dict = {}
+    for r in out:
+        shown[r.source] = shown.get(r.source, 0) + r.n_tokens
+    assert all(want[s] - 10 <= shown[s] <= want[s] + 1 for s in p)
+    assert {r.doc_id for r in out} == {r[0] for r in rows}
+    small = mixing.mixture(docs, budget=total // 2, target_entropy=1.5).collect()
+    assert total // 2 - 10 * len(p) <= sum(r.n_tokens for r in small) <= total // 2
+    weights = {r.source: r.weight for r in small if r.n_tokens}
+    assert abs(-sum(w * math.log(w) for w in weights.values()) - 1.5) < 0.02
+    assert mixing.mixture(docs.limit(0)).count() == 0
+
+
+def test_pseudonyms(spark):
+    rows = [
+        (1, "a@mail.example.com 4826856750674649 ok"), (2, "card 4826 8567 5067 4649 bad 4826856750674648"), (3, "+1 (945) 555-5337; 945-555-5337"), (4, "47.214.15.140 47.214.15.999"),
+        (5, "1984-02-29 02/29/1984 1985-02-29 29.02.1984"), (6, "123-45-6789 000-12-3456"), (7, None), (8, ""), (9, "nothing to see, 12 apples"), (None, "4826856750674649"), (1, "4826856750674649"),
+    ]
+    out = pii.pseudonymise(frame(spark, rows)).collect()
+    text = {(r.doc_id, r.n_values): r.text for r in out}
+    card = text[(None, 1)]
+    luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    assert luhn(card) and card != "4826856750674649" and card in text[(1, 2)] and text[(1, 1)] == card
+    assert text[(2, 1)].replace(" ", "") == f"card{card}bad4826856750674648"
+    digits = [re.sub(r"\D", "", x)[-10:] for x in text[(3, 2)].split(";")]
+    assert digits[0] == digits[1] != "9455555337"
+    assert text[(4, 1)].endswith(" 47.214.15.999") and all(int(o) < 256 for o in text[(4, 1)].split()[0].split("."))
+    iso, us, wrong, dotted = text[(5, 3)].split()
+    assert wrong == "1985-02-29" and iso != "1984-02-29" and iso == f"{us[6:]}-{us[:2]}-{us[3:5]}" == f"{dotted[6:]}-{dotted[3:5]}-{dotted[:2]}"
+    assert text[(6, 1)].endswith(" 000-12-3456")
+    assert text[(7, 0)] is None and text[(8, 0)] == "" and text[(9, 0)] == rows[8][1]
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(21 * 487).select(pii.feistel(F.floor(F.col("id") / 487), F.pmod("id", F.lit(487)), F.lit(21).cast("long"), F.lit(487).cast("long"), "k", "date").alias("s"))
+    assert df.select("s.u", "s.v").distinct().count() == 21 * 487
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((60, 16))
+    near = base[0] + 0.05 * rng.standard_normal((40, 16))
+    vectors = [*base, *near, base[5], base[5], base[6] + 0.05 * rng.standard_normal(16)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    odd = [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] * 16), (504, [float("inf")] + [1.0] * 15), (505, [None] + [1.0] * 15), (506, [1.0, 2.0]), (507, [2.0, 4.0]), (None, rows[0][1])]
+    out = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v, 1, "z") for i, v in rows + odd], "vec_id long, embedding array<double>, label int, rep string")).collect()}
+    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.95
+    want = closed(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(hit)) if a < b])
+    for i in range(len(x)):
+        assert (out[i].n_links, out[i].component_id, out[i].kept) == (hit[i].sum() - 1, want[i], want[i] == i)
+    for i in range(500, 506):
+        assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
+    assert (out[506].n_links, out[507].component_id) == (1, 506) and out[None].n_links == 0
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
