@@ -360,3 +360,47 @@ def missing_by_topic(spark, d):
 def topk_recommendations(spark, d):
     good = table(spark, d, "labels").where("quality = 1").select("doc_id")
     return table(spark, d, "documents").select("doc_id", "source").join(good, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("priority")).orderBy(F.desc("priority"), "source").limit(10)
+
+
+@query()
+def context_select_greedy(spark, d):
+    """The best documents of each query, contradicting ones pushed down."""
+    from stratalith.operators.reasoning import select_greedily
+
+    ranked = search.bm25(_docs(spark, d), _queries(spark, d), 15).select("query_id", "id", "score")
+    claims = _docs(spark, d).select("id", T.claims(F.col("text")).alias("claims"))
+    return select_greedily(ranked.join(claims, "id"), 8).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest({SENTENCES("text")}) AS s FROM documents WHERE doc_id < 100), a AS (SELECT doc_id, unnest({CLAIMS}) AS s FROM documents)
+ SELECT doc_id, count(*) AS unapproved FROM (SELECT DISTINCT doc_id, s FROM s WHERE length(s) > 20 AND length(s) < 300 AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = s.doc_id AND a.s = s.s)) GROUP BY doc_id""")
+def new_sentences(spark, d):
+    """Sentences of claim length beyond the extracted claims, by document."""
+    text, docs = F.col("text"), _docs(spark, d)
+    said = docs.where("id < 100").select("id", F.explode(T.sentences(text)).alias("s")).where((F.length("s") > 20) & (F.length("s") < 300)).distinct()
+    known = docs.select("id", F.explode(T.claims(text)).alias("s")).distinct()
+    return said.join(known, ["id", "s"], "left_anti").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("unapproved"))
+
+
+@query()
+def no_new_claims(spark, d):
+    """Benchmark sentences that no claim of the documents of their words supports, after normalisation."""
+    from stratalith.operators.reasoning import unapproved
+
+    text = F.col("text")
+    said = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(T.sentences(text)).alias("text"))
+    good = _docs(spark, d).select("id", F.explode(T.claims(text)).alias("text"))
+    return unapproved(said, good).select(F.col("id").alias("item_id"), F.sha2("text", 256).alias("sentence"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, c.i AS idx, c.s AS chunk FROM {CHUNKS} WHERE doc_id < 200 AND trim(c.s) <> ''), e AS (SELECT *, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(chunk), 2 * i + 1, 2))::INT / 255) AS v FROM c),
+ q AS (SELECT item_id, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255) AS q FROM benchmark WHERE item_id < 3),
+ s AS (SELECT item_id, doc_id, idx::BIGINT AS idx, round(list_cosine_similarity(q::DOUBLE[], v::DOUBLE[]), 6) AS score FROM e, q) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, idx) <= 5""")
+def rag_retrieve(spark, d):
+    """The five chunks nearest to each of three stated queries, which are broadcast, by hash embedding."""
+    chunks = _docs(spark, d).where("id < 200").select("id", F.posexplode(F.split("text", "\n")).alias("idx", "chunk")).where(F.trim("chunk") != "")
+    asked = table(spark, d, "benchmark").where("item_id < 3").select("item_id", V.hash_embedding(F.col("text")).alias("q"))
+    held = chunks.select(F.col("id").alias("doc_id"), F.col("idx").cast("long").alias("idx"), V.hash_embedding(F.col("chunk")).alias("v"))
+    scored = held.join(F.broadcast(asked)).select("item_id", "doc_id", "idx", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "idx")
+    return scored.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
