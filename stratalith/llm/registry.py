@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stratalith.llm.common import table
+from stratalith.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -87,4 +88,3 @@ QUERIES = {
         op10_minmax_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
