@@ -43,14 +43,16 @@ def _parts(h: Column, bits: int) -> Column:
 def band_keys(h: Column) -> Column:
     """Band keys of a sorted shingle set by its size."""
     n = F.size(h)
-    bin_ = lambda x: F.struct(F.shiftright(x, 61), F.least(F.shiftright(x, 59).bitwiseAND(F.lit(3)), F.lit(2)))
-    least = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_(x) != bin_(F.get(s, i - 1))))
+    # three bins a band: the last takes two quarters of the band's range
+    quarter = lambda x: F.shiftright(x, 59)
+    opens = lambda x, before: (quarter(x) != quarter(before)) & ((quarter(x).bitwiseAND(F.lit(3)) != 3) | (quarter(x) - quarter(before) > 1))
+    least = lambda s: F.filter(s, lambda x, i: F.when(i == 0, True).otherwise(opens(x, F.get(s, i - 1))))
     none = F.array().cast("array<bigint>")
     return F.concat(
         F.when(n.between(1, 3), _parts(h, 0)).otherwise(none),
         F.when(n.between(4, 9), _parts(h, 1)).otherwise(none),
         F.when(n.between(8, 20), _parts(h, 2)).otherwise(none),
-        F.when(n >= 13, _parts(least(h), 3)).otherwise(none),
+        F.when(n >= 13, _bound(least(h), lambda m: _parts(m, 3))).otherwise(none),
     )
 
 
