@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import artifacts, knowledge, retrieval
+from stratalith.plans import artifacts, governance, knowledge, retrieval
 
-MODULES = (knowledge, retrieval, artifacts)
+MODULES = (knowledge, retrieval, artifacts, governance)
 
 
 def queries() -> dict:
