@@ -39,17 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
-    """A compressed columnar table in the shared folder, and its path for ``unstash``."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
+    """A compressed columnar table in the shared folder, and its path.
 
-def unstash(spark: SparkSession, path: str) -> None:
-    """Deletes a stashed table through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    Plans read it until the application ends; then its file system deletes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
