@@ -66,7 +66,7 @@ def fusion_conflicts(spark, d):
     return packs.conflicts(files.select("path", "sha256").unionByName(_other(files).select("path", "sha256")))
 
 
-RESOLUTIONS = """(SELECT path, CASE l_orderkey % 5 WHEN 0 THEN 'take_primary' WHEN 1 THEN 'take_secondary' WHEN 2 THEN 'skip' ELSE 'manual' END AS resolution FROM """ + FILES + " WHERE l_orderkey % 11 = 0 AND l_orderkey % 5 < 4)"
+RESOLUTIONS = """(SELECT DISTINCT path, CASE l_orderkey % 5 WHEN 0 THEN 'take_primary' WHEN 1 THEN 'take_secondary' WHEN 2 THEN 'skip' ELSE 'manual' END AS resolution FROM """ + FILES + " WHERE l_orderkey % 11 = 0 AND l_orderkey % 5 < 4)"
 
 
 @query(f"""WITH j AS (SELECT path, a.sha256 AS ha, a.size AS za, b.sha256 AS hb, b.size AS zb, resolution, a.sha256 IS NOT NULL AND b.sha256 IS NOT NULL AND a.sha256 <> b.sha256 AS clash
@@ -78,7 +78,7 @@ RESOLUTIONS = """(SELECT path, CASE l_orderkey % 5 WHEN 0 THEN 'take_primary' WH
 def fusion_target(spark, d):
     files = manifest_files(spark, d)
     k = F.col("l_orderkey") % 5
-    how = files.where((F.col("l_orderkey") % 11 == 0) & (k < 4)).select("path", F.when(k == 0, "take_primary").when(k == 1, "take_secondary").when(k == 2, "skip").otherwise("manual").alias("resolution"))
+    how = files.where((F.col("l_orderkey") % 11 == 0) & (k < 4)).select("path", F.when(k == 0, "take_primary").when(k == 1, "take_secondary").when(k == 2, "skip").otherwise("manual").alias("resolution")).distinct()
     merged = packs.fuse(files.drop("l_orderkey"), _other(files).drop("l_orderkey"), how)
     return merged.withColumns({"sha256": F.coalesce("sha256", F.lit("")), "size": F.coalesce("size", F.lit(-1).cast("long")), "resolution": F.coalesce("resolution", F.lit(""))})
 
@@ -86,7 +86,7 @@ def fusion_target(spark, d):
 def _directives(files):
     k = F.col("l_orderkey")
     transform = F.when(k % 10 == 0, "drop").when(k % 10 == 1, "slice").otherwise("copy")
-    return files.where(k % 17 != 0).select("path", (k % 3).cast("long").alias("child"), transform.alias("transform"), F.lit(5).cast("long").alias("length"))
+    return files.where(k % 17 != 0).select("path", (k % 3).cast("long").alias("child"), transform.alias("transform"), F.lit(5).cast("long").alias("length")).distinct()
 
 
 SPLIT = f"""(SELECT l_orderkey % 3 AS child, path, CASE WHEN l_orderkey % 10 <> 0 THEN sha256 END AS sha256, CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_orderkey % 10 = 1 THEN least(size, 5) ELSE size END AS size,
