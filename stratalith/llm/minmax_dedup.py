@@ -1,14 +1,11 @@
 """MinHash near-duplicates by min-max hashing.
 
 Every permutation gives two signature values, the least and the greatest permuted
-shingle hash, so 80 permutations fill 160 rows: 32 bands of 5.  A pair of similarity
-0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
-
-Documents with equal shingle sets form a class first.  Representatives that share a
-band are compared with the most central member of the band, links are confirmed on full
-shingle sets, and union-find joins them.  Whatever band still spans two components is
-then compared member by member across components, so no link between components is
-lost while a group of near copies costs one comparison a member, not one a pair.
+shingle hash, so 129 permutations fill 258 rows: 43 bands of 6.  A pair of similarity
+0.8 shares no band with probability (1 - 0.8**6)**43 = 2e-6.
+
+Documents with equal shingle sets form a class first; ``linking`` searches and confirms
+links between the representatives of classes on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalith.llm.common import cut, ragged, stash, text_slices
-from stratalith.llm.components import components
+from stratalith.llm.common import ragged, stash, text_slices
+from stratalith.llm.linking import linked, only_ids
 from stratalith.llm.hashing import U, Words, mix, shingles
 
-PERMUTATIONS, BANDS = 80, 32
+PERMUTATIONS, BANDS = 129, 43
 _rng = np.random.default_rng(8)
 _MULTIPLIERS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=U) * U(2) + U(1)
 _OFFSETS = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U)
@@ -91,19 +88,6 @@ def _setter(shingle: int, lower: bool):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sizes are tried first."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("c"))
-        .where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
-        .select("a", "b")
-    )
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, lower: bool = True
 ) -> DataFrame:
@@ -121,38 +105,12 @@ def near_duplicates(
         F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.max("n").alias("n")
     )
     banded, _ = stash(classes.select("rep", "n", F.explode("bands").alias("key")))
-    crowds = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = banded.join(crowds, "key")
-    central = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
-    spots = cut(shared.join(central, "rep").select("key", "rep", "n", "weight"))
-    wanted = central.select(F.col("rep").alias("id"))
-    sets, _ = stash(
-        whole.where("id IS NOT NULL").join(wanted, "id", "left_semi").mapInArrow(_setter(shingle, lower), "id long, set array<long>").dropDuplicates(["id"])
-    )
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    lead = spots.groupBy("key").agg(F.max(F.struct("weight", -F.col("rep"), "n")).alias("lead"))
-    stars = (
-        spots.join(lead, "key")
-        .select(F.col("rep").alias("a"), (-F.col("lead.col2")).alias("b"), "n", F.col("lead.n").alias("m"))
-        .where((F.col("a") != F.col("b")) & alike(F.col("n"), F.col("m")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    links = cut(_confirmed(stars, sets, percent))
-    first = components(links, "a", "b")
-    held = spots.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    torn = cut(held.join(split, "key"))
-    x, y = (torn.select("key", *(F.col(c).alias(c + side) for c in ("rep", "n", "c"))) for side in "xy")
-    across = (
-        x.join(y, "key")
-        .where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & alike(F.col("nx"), F.col("ny")))
-        .select(F.col("repx").alias("a"), F.col("repy").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(across, sets, percent)
-    final = components(links.union(more), "a", "b").select(F.col("node").alias("rep"), "component")
+
+    def fetch(ids: DataFrame, n: int) -> DataFrame:
+        rows = only_ids(whole.where("id IS NOT NULL"), "id", ids, n)
+        return rows.mapInArrow(_setter(shingle, lower), "id long, set array<long>").dropDuplicates(["id"])
+
+    final = linked(banded, fetch, percent).select(F.col("node").alias("rep"), "component")
     roots = classes.select("k1", "k2", "rep").join(final, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("root"))
     component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
     return (
