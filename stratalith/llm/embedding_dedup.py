@@ -4,9 +4,12 @@ Equal vectors form a class first.  A neighbour graph over the classes starts fro
 hyperplane cells, whose members are compared in bounded groups, and is refined by
 joining neighbours of neighbours.  After each round the recall of links is audited by
 brute force from a sample of queries; rounds go on until it is high enough.  Edges at
-the threshold join components.  Where a list is saturated, full of links, it is
-enlarged to its whole component: members are compared block against block and only
-counts leave a block pair, so every link is counted and no list of pairs is made.
+the threshold join components.  A list that is saturated, full of links, says nothing of
+its further links.  Saturated members are therefore dealt into blocks with a centre and a
+radius, blocks of different components that the angles do not rule out are compared,
+and a link joins the components.  Then each saturated list is enlarged to its whole
+component: members are compared block against block and only counts leave a block
+pair, so every link is counted and no list of pairs is made.
 
 All cosines are taken in double precision.
 """
@@ -121,6 +124,72 @@ def _blocks_counter(threshold: float):
     return run
 
 
+def _ball(group: pa.Table) -> pa.Table:
+    """Centre and radius, an angle, of a block of saturated members."""
+    x = _unit(group.column("vec").to_pylist())
+    centre = x.sum(axis=0)
+    length = np.linalg.norm(centre)
+    centre = centre / length if length > 1e-9 else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1).min()))
+    fixed = [group.column(c).slice(0, 1).combine_chunks() for c in ("dim", "component", "block")]
+    return pa.table([*fixed, pa.array([centre.tobytes()], pa.binary()), pa.array([radius])], names=["dim", "component", "block", "centre", "radius"])
+
+
+def _ball_pairs(threshold: float):
+    """Pairs of balls of different components that may hold a link, by the triangle inequality on angles."""
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def run(group: pa.Table) -> pa.Table:
+        side, part, block, radius = (group.column(c).to_numpy() for c in ("side", "component", "block", "radius"))
+        x = np.frombuffer(b"".join(group.column("centre").to_pylist()), dtype=np.float64).reshape(group.num_rows, -1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(b):  # a batch of balls against itself
+            b = a
+        near = np.arccos(np.clip(x[a] @ x[b].T, -1, 1)) <= radius[a][:, None] + radius[b][None, :] + reach
+        i, j = np.nonzero(near & (part[a][:, None] != part[b][None, :]))
+        i, j = a[i], b[j]
+        i, j = np.where(part[i] < part[j], i, j), np.where(part[i] < part[j], j, i)
+        return pa.table([pa.array(c, pa.int64()) for c in (part[i], block[i], part[j], block[j])], names=["ca", "ba", "cb", "bb"])
+
+    return run
+
+
+def _meeting(threshold: float):
+    """The two components of a pair of blocks, if a link lies between the blocks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side, x = group.column("side").to_numpy(), _unit(group.column("vec").to_pylist())
+        met = bool((x[side == 0] @ x[side == 1].T >= threshold).any())
+        return group.select(["ca", "cb"]).slice(0, int(met))
+
+    return run
+
+
+def _across(joined: DataFrame, saturated: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) after every link between saturated members of different components."""
+    held = joined.join(saturated.select(F.col("rep").alias("node")), "node", "left_semi")
+    sized = held.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = held.join(sized, "component").select(F.col("node").alias("rep"), "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    members = cut(vectors.join(placed, "rep").select("component", "block", "dim", "vec"))
+    balls = cut(members.groupBy("component", "block").applyInArrow(_ball, "dim long, component long, block long, centre binary, radius double"))
+    n = balls.count()
+    if n < 2:
+        return joined
+    batches = -(-n // BLOCK)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long")))
+    dealt = balls.withColumn("own", F.pmod(F.xxhash64("component", "block"), F.lit(batches))).withColumn("other", other)
+    met = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": F.when(F.col("own") <= F.col("other"), 0).otherwise(1)}).drop("own", "other")
+    pairs = cut(met.groupBy("dim", "lo", "hi").applyInArrow(_ball_pairs(threshold), "ca long, ba long, cb long, bb long").distinct())
+    sides = (
+        pairs.withColumn("ends", F.array(F.struct(F.lit(0).alias("side"), F.col("ca").alias("component"), F.col("ba").alias("block")), F.struct(F.lit(1).alias("side"), F.col("cb").alias("component"), F.col("bb").alias("block"))))
+        .select("ca", "ba", "cb", "bb", F.inline("ends"))
+    )
+    faced = sides.join(members, ["component", "block"]).select("ca", "ba", "cb", "bb", "side", "vec")
+    bridges = faced.groupBy("ca", "ba", "cb", "bb").applyInArrow(_meeting(threshold), "ca long, cb long")
+    moved = components(bridges, "ca", "cb").toDF("component", "root")
+    return cut(joined.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def _auditor(queries: list[tuple[int, int, bytes]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +250,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         graph.select("rep", F.explode("near").alias("e")).where(F.col("e.s") >= threshold)
         .select(F.least("rep", "e.id").alias("a"), F.greatest("rep", "e.id").alias("b")).distinct()
     )
-    joined = cut(components(links, "a", "b"))
     saturated = graph.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["s"] >= threshold)).select("rep")
+    joined = _across(cut(components(links, "a", "b")), saturated, vectors, threshold)
     full = joined.join(saturated, joined["node"] == saturated["rep"], "left_semi").select("component").distinct()
     sized = joined.join(full, "component", "left_semi").groupBy("component").agg(F.count("*").alias("members"))
     enlarged = cut(joined.join(sized, "component").select(F.col("node").alias("rep"), "component", F.ceil(F.col("members") / BLOCK).alias("blocks")))

@@ -350,3 +350,24 @@ def test_vectors(spark):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
     assert (out[506].n_links, out[507].component_id) == (1, 506) and out[None].n_links == 0
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def brute_vectors(spark, vectors):
+    """Rows of near_vectors, and what all pairs give."""
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(vectors)]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.95
+    root = closed(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(hit)) if a < b])
+    want = {i: (hit[i].sum() - 1, root[i], root[i] == i) for i in range(len(x))}
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}, want
+
+
+def test_vectors_of_saturated_groups_meet(spark):
+    """Two groups of more members than a list holds, alike inside and just linked across; and a third beyond the threshold."""
+    rng = np.random.default_rng(7)
+    axes = np.eye(32)
+    centres = [axes[0], 0.957 * axes[0] + np.sqrt(1 - 0.957**2) * axes[1], 0.8 * axes[0] - 0.6 * axes[1]]
+    vectors = [c + 0.008 * rng.standard_normal(32) for c in centres for _ in range(25)]
+    got, want = brute_vectors(spark, vectors)
+    assert got == want and len({c for _, c, _ in want.values()}) == 2 and min(n for n, _, _ in want.values()) == 24
