@@ -2,20 +2,26 @@
 
 Equal vectors form a class first.  A neighbour graph over the classes starts from random
 hyperplane cells, whose members are compared in bounded groups, and is refined by
-joining neighbours of neighbours.  After each round the recall of links is audited by
-brute force from a sample of queries; rounds go on until it is high enough.  Edges at
-the threshold join components.  A list that is saturated, full of links, says nothing of
+joining neighbours of neighbours; there are as many tables of cells as the number of
+hyperplanes asks for.  Edges at the threshold join components.  A list that is saturated, full of links, says nothing of
 its further links.  Saturated members are therefore dealt into blocks with a centre and a
 radius, blocks of different components that the angles do not rule out are compared,
 and a link joins the components.  Then each saturated list is enlarged to its whole
 component: members are compared block against block and only counts leave a block
 pair, so every link is counted and no list of pairs is made.
 
+Each round ends with an audit: the counted links of sampled vectors against brute force,
+as the mean over the sampled vectors that have a link of the share that was found.  Below
+``ENOUGH`` a further round adds tables of fresh hyperplanes; what is still below it after
+the last round is reported as a warning with the recall.
+
 All cosines are taken in double precision.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,12 @@ from stratalith.llm.common import cut, stash
 from stratalith.llm.components import components
 
 NEIGHBOURS, TABLES, CELL, GROUP, BLOCK = 10, 16, 48, 256, 512
-AUDIT_QUERIES, ENOUGH, MOST_ROUNDS = 256, 0.999, 3
+#: Further hyperplanes of a table, of which a large cell takes as many as it needs.
+DEEP = 16
+#: Chance that a pair at the threshold shares no cell.
+APART = 0.001
+AUDIT_QUERIES, ENOUGH, MOST_ROUNDS = 1024, 0.999, 4
+AUDIT_SLICE = 2048
 BROADCAST_ROWS = 1 << 18
 
 
@@ -43,19 +54,26 @@ def _to_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("size"), batch.column("dim"), pa.array(blobs, pa.binary())], names=["rep", "size", "dim", "vec"])
 
 
-def _celler(bits: int):
+def _tables(bits: int, threshold: float) -> int:
+    """Tables after which a pair at the threshold has met but for a chance of ``APART``."""
+    same = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(APART) / math.log1p(-min(same, 0.999))))
+
+
+def _celler(bits: int, tables: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, vecs, reps = batch.column("dim").to_numpy(), batch.column("vec").to_pylist(), batch.column("rep").to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = _unit([vecs[i] for i in at])
-                planes = np.random.default_rng(int(dim)).standard_normal((int(dim), TABLES * bits))
-                codes = ((x @ planes > 0).reshape(len(at), TABLES, bits) * (1 << np.arange(bits))).sum(axis=2)
-                keys = (int(dim) * TABLES + np.arange(TABLES)) * (1 << bits) + codes
+                planes = np.random.default_rng([int(dim), turn]).standard_normal((int(dim), tables * (bits + DEEP)))
+                signs = (x @ planes > 0).reshape(len(at), tables, bits + DEEP)
+                codes, deep = (part @ (1 << np.arange(part.shape[2])) for part in (signs[:, :, :bits], signs[:, :, bits:]))
+                keys = (int(dim) * tables + np.arange(tables)) * (1 << bits) + codes
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(reps[at], TABLES), pa.int64()), pa.array([vecs[i] for i in at for _ in range(TABLES)], pa.binary())],
-                    names=["cell", "rep", "vec"],
+                    [pa.array(c, pa.int64()) for c in (keys.ravel(), deep.ravel(), np.repeat(reps[at], tables))] + [pa.array([vecs[i] for i in at for _ in range(tables)], pa.binary())],
+                    names=["cell", "deep", "rep", "vec"],
                 )
 
     return run
@@ -191,61 +209,44 @@ def _across(joined: DataFrame, saturated: DataFrame, vectors: DataFrame, thresho
 
 
 def _auditor(queries: list[tuple[int, int, bytes]], threshold: float):
+    """Links of each query, by brute force: (rep, linked) with one row a query and slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, dims, vecs = batch.column("rep").to_numpy(), batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
-            rows = []
-            for dim in np.unique(dims):
-                own = [q for q in queries if q[1] == dim]
-                at = np.flatnonzero(dims == dim)
-                if own:
-                    hit = _unit([q[2] for q in own]) @ _unit([vecs[i] for i in at]).T >= threshold
-                    rows += [(own[i][0], int(reps[at[j]])) for i, j in zip(*np.nonzero(hit), strict=True) if own[i][0] != reps[at[j]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [[], []])], names=["a", "b"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, AUDIT_SLICE):
+                batch = whole.slice(start, AUDIT_SLICE)
+                reps, sizes, dims, vecs = (batch.column(c).to_pylist() if c == "vec" else batch.column(c).to_numpy() for c in ("rep", "size", "dim", "vec"))
+                for dim in np.unique(dims):
+                    own = [q for q in queries if q[1] == dim]
+                    at = np.flatnonzero(dims == dim)
+                    if own:
+                        ids = np.array([q[0] for q in own])
+                        hit = (_unit([q[2] for q in own]) @ _unit([vecs[i] for i in at]).T >= threshold) & (ids[:, None] != reps[at][None, :])
+                        linked = hit @ sizes[at]
+                        some = np.flatnonzero(linked)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(linked[some], pa.int64())], names=["rep", "linked"])
 
     return run
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``table``.
-
-    Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing; so do rows with a null id, and vectors of different length.  Rows that repeat
-    an id are vectors of their own.  Other columns are ignored; no rows give no rows.
-    """
-    v = F.col(vector_col).cast("array<double>")
-    fine = F.coalesce(
-        F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0),
-        F.lit(False),
-    )
-    keyed = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64("v", F.lit(1))})
-    rows = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
-    classes = rows.select("k1", "k2", "rep", "size")
-    vectors, _ = stash(rows.select("rep", "size", F.size("v").cast("long").alias("dim"), "v").mapInArrow(_to_binary, "rep long, size long, dim long, vec binary"))
-    n = vectors.count()
-    bits = max(1, int(np.ceil(np.log2(max(2, n / CELL)))))
-    cells = vectors.mapInArrow(_celler(bits), "cell long, rep long, vec binary")
-    large = cut(cells.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > GROUP))
-    few = large.count() <= BROADCAST_ROWS
+def _seeded(vectors: DataFrame, bits: int, tables: int, turn: int) -> DataFrame:
+    """Lists from the cells of random hyperplanes; a large cell is split by more of them, and dealt at random only where they do not part it."""
+    cells = vectors.mapInArrow(_celler(bits, tables, turn), "cell long, deep long, rep long, vec binary")
+    extra = F.least(F.ceil(F.log2(F.col("c") / GROUP)) + 1, F.lit(DEEP)).cast("int")
+    large = cut(cells.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("cell", extra.alias("extra")))
+    split = cells.join(_small(large), "cell", "left").withColumn("deep", F.when(F.col("extra").isNotNull(), F.expr("pmod(deep, shiftleft(1L, extra))")).otherwise(F.lit(-1).cast("long")))
+    left = cut(split.where("extra IS NOT NULL").groupBy("cell", "deep").agg(F.count("*").alias("c")).where(F.col("c") > GROUP))
     salt = F.coalesce(F.pmod(F.xxhash64("rep", "cell"), F.ceil(F.col("c") / GROUP)), F.lit(0))
-    graph = cut(
-        _merged(
-            cells.join(F.broadcast(large) if few else large, "cell", "left").withColumn("salt", salt).select("cell", "salt", "rep", "vec")
-            .groupBy("cell", "salt").applyInArrow(_cell_neighbours, _EDGES)
-        )
-    )
-    queries = [tuple(r) for r in vectors.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).select("rep", "dim", "vec").collect()]
-    true = cut(vectors.mapInArrow(_auditor(queries, threshold), "a long, b long"))
-    expected = true.count()
-    for _ in range(MOST_ROUNDS):
-        graph = cut(_descended(graph, vectors, n))
-        if not expected:
-            break
-        links = graph.select("rep", F.explode("near").alias("e")).where(F.col("e.s") >= threshold).select(F.col("rep").alias("x"), F.col("e.id").alias("y"))
-        joined = components(links, "x", "y")
-        ends = (true.join(joined.toDF("a", "ca"), "a", "left").join(joined.toDF("b", "cb"), "b", "left")).where(F.col("ca") == F.col("cb")).count()
-        if ends >= ENOUGH * expected:
-            break
+    dealt = split.join(_small(left), ["cell", "deep"], "left").withColumn("salt", salt).select("cell", "deep", "salt", "rep", "vec")
+    return dealt.groupBy("cell", "deep", "salt").applyInArrow(_cell_neighbours, _EDGES)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _counted(graph: DataFrame, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of what has a link, and (rep, linked): the rows each vector is linked with."""
     links = cut(
         graph.select("rep", F.explode("near").alias("e")).where(F.col("e.s") >= threshold)
         .select(F.least("rep", "e.id").alias("a"), F.greatest("rep", "e.id").alias("b")).distinct()
@@ -266,7 +267,40 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         both.join(enlarged.select("rep"), "rep", "left_anti").join(vectors.select(F.col("rep").alias("other"), "size"), "other")
         .select("rep", F.col("size").alias("linked"))
     )
-    counted = dense.union(sparse).groupBy("rep").agg(F.sum("linked").alias("linked"))
+    return joined, cut(dense.union(sparse).groupBy("rep").agg(F.sum("linked").alias("linked")))
+
+
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``table``.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components link with
+    nothing; so do rows with a null id, and vectors of different length.  Rows that repeat
+    an id are vectors of their own.  Other columns are ignored; no rows give no rows.
+    """
+    v = F.col(vector_col).cast("array<double>")
+    fine = F.coalesce(
+        F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0),
+        F.lit(False),
+    )
+    keyed = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64("v", F.lit(1))})
+    rows = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
+    classes = rows.select("k1", "k2", "rep", "size")
+    vectors, _ = stash(rows.select("rep", "size", F.size("v").cast("long").alias("dim"), "v").mapInArrow(_to_binary, "rep long, size long, dim long, vec binary"))
+    n = vectors.count()
+    bits = max(1, int(np.ceil(np.log2(max(2, n / CELL)))))
+    tables = _tables(bits, threshold)
+    queries = [tuple(r) for r in vectors.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).select("rep", "dim", "vec").collect()]
+    true = cut(vectors.mapInArrow(_auditor(queries, threshold), "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("true")))
+    graph = None
+    for turn in range(MOST_ROUNDS):
+        seeds = _seeded(vectors, bits, tables, turn)
+        graph = cut(_descended(cut(_merged(seeds if graph is None else graph.union(seeds))), vectors, n))
+        joined, counted = _counted(graph, vectors, threshold)
+        recall = _recall(true, counted)
+        if recall >= ENOUGH:
+            break
+    else:
+        warnings.warn(f"near_vectors: audited recall of links is {recall:.4f}, below {ENOUGH}", RuntimeWarning, stacklevel=2)
     found = (
         classes.join(counted, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select("k1", "k2", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
@@ -278,6 +312,12 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _recall(true: DataFrame, counted: DataFrame) -> float:
+    """Mean share of its links found, over the audited vectors that have one; a hot group counts by vector, not by link."""
+    share = F.least(F.coalesce("linked", F.lit(0)) / F.col("true"), F.lit(1.0))
+    return true.join(counted, "rep", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
+
+
 def _descended(graph: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """One round: lists and reversed lists meet at their centres, and improvements merge in."""
     out = graph.select(F.col("rep").alias("centre"), F.explode("near.id").alias("rep"))

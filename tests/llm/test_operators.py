@@ -371,3 +371,18 @@ def test_vectors_of_saturated_groups_meet(spark):
     vectors = [c + 0.008 * rng.standard_normal(32) for c in centres for _ in range(25)]
     got, want = brute_vectors(spark, vectors)
     assert got == want and len({c for _, c, _ in want.values()}) == 2 and min(n for n, _, _ in want.values()) == 24
+
+
+def test_audit_of_vectors(spark, monkeypatch):
+    """Lost links show, however many a hot group has; rounds with fresh tables repair them, or a warning tells."""
+    counts = spark.createDataFrame([(0, 5000), (1, 1), (2, 0)], "rep long, linked long")
+    assert embedding_dedup._recall(spark.createDataFrame([(0, 5000), (1, 2), (2, 1), (3, 1)], "rep long, true long"), counts) == 0.375
+    assert embedding_dedup._recall(counts.toDF("rep", "true").limit(0), counts) == 1
+    assert embedding_dedup._tables(6, 0.95) == 16 < embedding_dedup._tables(15, 0.95) < embedding_dedup._tables(21, 0.95)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((20, 16))
+    vectors = [*base, *(base + 0.02 * rng.standard_normal((20, 16)))]
+    monkeypatch.setattr(embedding_dedup, "_seeded", lambda vectors, bits, tables, turn: vectors.where("rep < 20").selectExpr("rep", "array(named_struct('s', 0D, 'id', pmod(rep + 1, 20))) AS near"))
+    monkeypatch.setattr(embedding_dedup, "MOST_ROUNDS", 1)
+    with pytest.warns(RuntimeWarning, match="recall of links is 0"):
+        brute_vectors(spark, vectors)
