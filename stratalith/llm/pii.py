@@ -21,7 +21,9 @@ PATTERNS = {
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)",
+    # any area and exchange after +1 or in parentheses, else only what the numbering plan allows
+    "phone": r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}"
+    r"|(?:1[ .-]?)?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}|(?<![+-])1?[2-9]\d{2}[2-9]\d{6}(?![.-]\d))(?!\w)",
     "abroad": r"(?<!\w)\+[2-9]\d{0,2}[ .-](?:\(?\d{1,5}\)?[ .-]?){1,5}\d(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
@@ -96,11 +98,16 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Area and exchange each stay below 200 or from 200 on, so that a number that the plan allows stays one."""
+
     def of(d: Column) -> Column:
         lead, own = F.substr(d, F.lit(1), F.length(d) - 10), F.substr(d, F.length(d) - 9)
         part = lambda at, n: F.substr(own, F.lit(at), F.lit(n)).cast("long")
-        pair = feistel(part(1, 3) - 200, (part(4, 3) - 200) * 10000 + part(7, 4), _long(800), _long(8_000_000), key, "phone")
-        return bound(pair, lambda s: _refill(m, F.concat(lead, (s["u"] + 200).cast("string"), F.lpad((s["v"] + 2_000_000).cast("string"), 7, "0"))))
+        area, exchange = (F.when(part(at, 3) < 200, 0).otherwise(200) for at in (1, 4))
+        a, b = (F.when(low == 0, _long(200)).otherwise(_long(800)) for low in (area, exchange))
+        pair = feistel(part(1, 3) - area, (part(4, 3) - exchange) * 10000 + part(7, 4), a, b * 10000, key, "phone")
+        shown = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return bound(pair, lambda s: _refill(m, F.concat(lead, shown(s["u"] + area, 3), shown(s["v"] + exchange * 10000, 7))))
 
     return bound(_digits(m), of)
 

@@ -386,3 +386,16 @@ def test_audit_of_vectors(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "MOST_ROUNDS", 1)
     with pytest.warns(RuntimeWarning, match="recall of links is 0"):
         brute_vectors(spark, vectors)
+
+
+def test_phones_of_every_form(spark):
+    forms = ["+1 (017) 555-7713", "+1 (136) 555-7479", "+1 0175557713", "(017) 555-7713", "+1 (017) 055-7713", "9455555337", "+19455555337", "945-555-5337"]
+    out = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, f"call {x} now") for i, x in enumerate(forms)] + [(100, "call 0175557713 or 94555553371 now")])).collect()}
+    digits = {}
+    for i, x in enumerate(forms):
+        assert out[i].kinds == ["phone"] and re.sub(r"\d", "0", out[i].text) == re.sub(r"\d", "0", f"call {x} now")
+        digits[x] = re.sub(r"\D", "", out[i].text)[-10:]
+        assert digits[x] != re.sub(r"\D", "", x)[-10:]
+    assert digits["+1 (017) 555-7713"] == digits["+1 0175557713"] == digits["(017) 555-7713"] != digits["+1 (017) 055-7713"]
+    assert digits["9455555337"] == digits["+19455555337"] == digits["945-555-5337"]
+    assert out[100].n_values == 0
