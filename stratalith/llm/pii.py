@@ -27,6 +27,8 @@ PATTERNS = {
     "abroad": r"(?<!\w)\+[2-9]\d{0,2}[ .-](?:\(?\d{1,5}\)?[ .-]?){1,5}\d(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+#: What a text has at least if any pattern matches in it.
+GATE = r"[0-9@]|AKIA|(?i:token|passw|secret|api[_-]?key)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Days of a 28-year stretch of the calendar, as the product of the two halves of the network.
 CYCLE_DAYS, CYCLE_HALVES, FIRST_YEAR, LAST_YEAR = 10227, (21, 487), 1901, 2096
@@ -217,7 +219,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty one empty; repeated rows and null ids keep their rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = F.when(F.col("text").rlike(r"[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     held = rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     # rows without a candidate, nearly all, skip the machinery
     made = F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key)))
