@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's shingles are the ten characters from each word's beginning on; equal lines
-collapse first.  The sorted shingle hashes fall into bins by value, and the least of
+A line's shingles are the ten characters from each word's beginning on, and in a word of
+more than ten characters those from every place on until the word's last ten, so that
+every character counts; equal lines collapse first.  The sorted shingle hashes fall into bins by value, and the least of
 each bin is a one-permutation MinHash signature: 8 bands of 3 bins.  Short lines, whose
 bins would stay empty, are banded on whole parts of their shingle set instead, so few
 that an unchanged part is certain: two parts up to 9 shingles, four from 8 to 20.
@@ -26,8 +27,8 @@ _LEAST_ID = -(2**63)
 
 
 def line_shingles(line: Column) -> Column:
-    """Sorted distinct hashes of the characters from each word's beginning on; none for a blank line."""
-    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S+"), F.lit(1))
+    """Sorted distinct hashes of the characters from each word's beginning on, and through each longer word; none for a blank line."""
+    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S(?=\S{{{SHINGLE}}})|\S+)"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 

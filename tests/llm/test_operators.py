@@ -407,3 +407,13 @@ def test_secrets_in_texts_without_digits(spark):
     out = {r.doc_id: r for r in pii.pseudonymise(frame(spark, list(enumerate(texts)))).collect()}
     assert all(out[i].kinds == ["secret"] and value not in out[i].text and "ABCDEFGHIJKLMNOP" not in out[i].text for i in out)
     assert out[1].text == f"{out[0].text} and 12 apples"
+
+
+def test_lines_of_long_words(spark):
+    """What follows the tenth character of a word tells lines apart, and like lines of long words still meet."""
+    rng = random.Random(9)
+    cjk = ["今日は天気がとても良い" + "".join(chr(0x4E00 + rng.randint(0, 5000)) for _ in range(40)) for _ in range(2)]
+    code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200))
+    lines = ["https://example.org/page/1", "https://example.org/page/2999", *cjk, code, code[:-1] + "!", code[:100], "averylongword", "averylongworm at sea"]
+    out = line_dedup.deduplicated_lines(frame(spark, list(enumerate(lines)))).collect()
+    assert {r.doc_id for r in out if r.removed} == {5}
