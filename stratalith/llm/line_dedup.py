@@ -3,15 +3,17 @@
 A line's shingles are the ten characters from each word's beginning on, and in a word of
 more than ten characters those from every place on until the word's last ten, so that
 every character counts; equal lines collapse first.  The sorted shingle hashes fall into bins by value, and the least of
-each bin is a one-permutation MinHash signature: 8 bands of 3 bins.  Short lines, whose
-bins would stay empty, are banded on whole parts of their shingle set instead, so few
-that an unchanged part is certain: two parts up to 9 shingles, four from 8 to 20.
+each bin is a one-permutation MinHash signature: 8 bands of 3 bins.  Lines of 4 to 20
+shingles, whose bins may stay empty, are keyed by every four neighbours of their sorted
+set, closed to a ring.  That loses no link: where c shingles are common and d are not,
+at most 3 d of the fours between common ones are torn, and c >= 4 d at 0.8.  Sets of up
+to 3 shingles are linked only if equal.
 ``linking`` confirms links on full sets (Jaccard 0.8) and joins them; of each component
 the first line stays.
 
-A pair of long lines of similarity 0.8 shares no band with probability
-(1 - 0.8**3)**8 = 0.3 %, one of similarity 0.9 with 3e-5.  Equality of lines and of
-shingles is by 64-bit hash.
+A pair with a line of more than 20 shingles has bands on both sides.  One of long lines
+of similarity 0.8 shares no band with probability (1 - 0.8**3)**8 = 0.3 %, one of
+similarity 0.9 with 3e-5.  Equality of lines and of shingles is by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from stratalith.llm.common import stash
 from stratalith.llm.linking import linked, only_ids
 
 SHINGLE = 10
+#: Neighbours in a key of a short line; a fifth would lose links at 0.8.
+RING = 4
 _LEAST_ID = -(2**63)
 
 
@@ -48,12 +52,12 @@ def band_keys(h: Column) -> Column:
     quarter = lambda x: F.shiftright(x, 59)
     opens = lambda x, before: (quarter(x) != quarter(before)) & ((quarter(x).bitwiseAND(F.lit(3)) != 3) | (quarter(x) - quarter(before) > 1))
     least = lambda s: F.filter(s, lambda x, i: F.when(i == 0, True).otherwise(opens(x, F.get(s, i - 1))))
+    ring = lambda s: F.transform(h, lambda x, i: F.xxhash64(F.slice(s, i + 1, F.lit(RING))))
     none = F.array().cast("array<bigint>")
     return F.concat(
         F.when(n.between(1, 3), _parts(h, 0)).otherwise(none),
-        F.when(n.between(4, 9), _parts(h, 1)).otherwise(none),
-        F.when(n.between(8, 20), _parts(h, 2)).otherwise(none),
-        F.when(n >= 13, _bound(least(h), lambda m: _parts(m, 3))).otherwise(none),
+        F.when(n.between(RING, 20), _bound(F.concat(h, F.slice(h, 1, RING - 1)), ring)).otherwise(none),
+        F.when(n >= 17, _bound(least(h), lambda m: _parts(m, 3))).otherwise(none),
     )
 
 
