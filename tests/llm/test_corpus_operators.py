@@ -213,13 +213,54 @@ def test_near_duplicates(spark, k):
     assert kept.count() == sum(want[i] == i for i in s) + 1
 
 
-def test_links_across_components_are_not_lost(spark):
-    """A chain whose ends are unlike: every link must be found, whatever the pivots."""
-    member = [set(range(2 * i, 2 * i + 24)) for i in range(12)]
-    banded = spark.createDataFrame([(i, len(s), 7) for i, s in enumerate(member)], "rep long, n int, key long")
+def linked_and_brute(spark, member):
+    spots = spark.createDataFrame([(i, 7, len(member)) for i in range(len(member))], "rep long, key long, members long")
     held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(member)], "id long, set array<long>")
-    got = dict(map(tuple, linking.linked(banded, lambda ids, n: held.join(ids, "id", "left_semi"), 80).collect()))
-    assert got == {i: 0 for i in range(12)}
+    got = dict(map(tuple, linking.linked(spots, lambda ids, n: held.join(ids, "id", "left_semi"), 80).collect()))
+    links = [(a, b) for a, b in itertools.combinations(range(len(member)), 2) if 10 * len(member[a] & member[b]) >= 8 * len(member[a] | member[b])]
+    want = closed(range(len(member)), links)
+    return got, {i: want[i] for p in links for i in p}
+
+
+@pytest.mark.parametrize("crowd", [2, 100])
+def test_links_across_components_are_not_lost(spark, monkeypatch, crowd):
+    """A chain whose ends are unlike: every link must be found, whatever the pivots."""
+    monkeypatch.setattr(linking, "CROWD", crowd)
+    got, want = linked_and_brute(spark, [set(range(2 * i, 2 * i + 24)) for i in range(12)])
+    assert got == want and set(want.values()) == {0}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_of_edited_copies(spark, seed, monkeypatch):
+    """Copies of a few bases with replaced, lost and added elements, many of them just below the threshold."""
+    monkeypatch.setattr(linking, "CROWD", 4)
+    rng, member = random.Random(seed), []
+    for family in range(3):
+        base = list(range(1000 * (family % 2), 1000 * (family % 2) + 40)) + list(range(5000 + 100 * family, 5000 + 100 * family + 12))
+        for _ in range(40):
+            own = set(base)
+            for x in rng.sample(base, rng.randint(0, 9)):
+                own.discard(x)
+                if rng.random() < 0.7:
+                    own.add(10000 + rng.randint(0, 60))
+            own |= {20000 + rng.randint(0, 30) for _ in range(rng.randint(0, 3))}
+            member.append(own)
+    got, want = linked_and_brute(spark, member)
+    assert got == want
+
+
+def test_near_copies_below_the_threshold_stay_linear(spark, monkeypatch):
+    """2,000 copies of 0.75 to 0.79 of each other: what is joined follows their number, not its square."""
+    rng, base = random.Random(4), list(range(200))
+    member = [set(base[:]) - set(gone) | {rng.getrandbits(60) for _ in gone} for gone in (rng.sample(base, 13) for _ in range(2000))]
+    pairs = rng.sample(list(itertools.combinations(range(300), 2)), 500)
+    assert all(0.74 < len(member[a] & member[b]) / len(member[a] | member[b]) < 0.81 for a, b in pairs)
+    joined, confirm = [], linking.confirmed
+    monkeypatch.setattr(linking, "confirmed", lambda pairs, *rest: joined.append(pairs.count()) or confirm(pairs, *rest))
+    spots = spark.createDataFrame([(i, 7, len(member)) for i in range(len(member))], "rep long, key long, members long")
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(member)], "id long, set array<long>").cache()
+    assert linking.linked(spots, lambda ids, n: held.join(ids, "id", "left_semi"), 80).count() <= 2000
+    assert sum(joined) < 20 * len(member)
 
 
 def line_sets(line):

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from test_operators import WORD, brute_lines, closed
+from test_corpus_operators import WORD, brute_lines, closed
 from tokenizers import Tokenizer
 
 import __spark_entry__
