@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Kinds and the patterns that find their candidates, in order of precedence.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}\b",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,24}\b",
     "secret": r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_-]{12,}|\bAKIA[A-Z0-9]{16}\b",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
@@ -210,7 +210,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return bound(value, lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), v.alias("value")))
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "stratalith") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_values, kinds, text), one row for every row of ``docs``, without a shuffle.
 
     ``text`` has every valid value replaced by its pseudonym under ``key``, which belongs
