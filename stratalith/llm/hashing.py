@@ -1,8 +1,8 @@
-"""Vectorised word splitting and polynomial hashing over whole Arrow text columns.
+"""Vectorised word splitting and hashing over whole Arrow text columns.
 
 A word is a run of bytes other than space and \\x09-\\x0D, so UTF-8 needs no decoding.
-Word hashes are polynomials over the bytes modulo 2**64 with a random value per byte,
-read off prefix sums; word windows are polynomials over the word hashes.
+A word hash folds in eight bytes at a time, each followed by a full mix, so no algebra of
+letters makes unlike words equal; word windows are polynomials over the word hashes.
 """
 
 from __future__ import annotations
@@ -10,18 +10,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-_rng = np.random.default_rng(20240607)
-BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=U)
-BYTE_VALUE_LOWER = BYTE_VALUE.copy()
-BYTE_VALUE_LOWER[65:91] = BYTE_VALUE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(int(BASE), -1, 2**64))
-CHUNK = 1 << 18
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a word that are folded in steps over all words; what goes beyond is hashed word by word.
+FOLDED = 256
+#: Keeps the first so many of eight bytes.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,19 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(CHUNK, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        up = np.full(size, BASE, dtype=U)
-        down = np.full(size, INVERSE, dtype=U)
-        up[0] = down[0] = U(1)
-        tables = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > CHUNK:
-            return tables  # for one giant word; not kept
-        _powers[size] = tables
-    return _powers[size]
-
-
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of a string array; nulls count as empty."""
     if texts.null_count:
@@ -79,21 +66,21 @@ class Words:
 
     def hashes(self, lower: bool = False, head: int | None = None) -> np.ndarray:
         """One hash a word, of its first ``head`` bytes if given; A-Z as a-z if ``lower``."""
-        value = BYTE_VALUE_LOWER if lower else BYTE_VALUE
-        out, w, n = np.empty(len(self.start), dtype=U), 0, len(self.start)
-        stop = self.end if head is None else np.minimum(self.end, self.start + head)
-        while w < n:
-            base = self.start[w]
-            to = max(w + 1, int(np.searchsorted(self.end, base + CHUNK, side="right")))
-            piece = value[self.data[base : self.end[to - 1]]]
-            up, down = _power_tables(len(piece))
-            piece *= up[: len(piece)]
-            sums = np.zeros(len(piece) + 1, dtype=U)
-            np.cumsum(piece, out=sums[1:])
-            s, e = self.start[w:to] - base, stop[w:to] - base
-            out[w:to] = (sums[e] - sums[s]) * down[s]
-            w = to
-        return mix(out)
+        if not len(self.start):
+            return np.zeros(0, dtype=U)
+        data = np.concatenate([LOWER[self.data] if lower else self.data, np.zeros(8, dtype=np.uint8)])
+        eights = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), shape=(len(data) - 7,), strides=(1,))
+        length = self.end - self.start if head is None else np.minimum(self.end - self.start, head)
+        out = mix(eights[self.start] & FIRST_BYTES[np.minimum(length, 8)] ^ length.astype(U) * BASE)
+        open_, at = np.flatnonzero(length > 8), 8
+        while len(open_) and at < FOLDED:
+            left = np.minimum(length[open_] - at, 8)
+            out[open_] = mix(out[open_] * BASE ^ eights[self.start[open_] + at] & FIRST_BYTES[left])
+            at += 8
+            open_ = open_[length[open_] > at]
+        for w in open_.tolist():
+            out[w] ^= U(xxhash.xxh3_64_intdigest(data[self.start[w] + FOLDED : self.start[w] + length[w]], int(out[w])))
+        return out
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
