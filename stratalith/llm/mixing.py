@@ -8,7 +8,8 @@ blocks of a source come in a keyed permutation of their own, and documents withi
 in hash order; the last pass stops where the quota is met.
 
 Without a budget it is the least that shows every document at least once, so nothing is
-lost.  A pass is cut at a place (block, hash) found per source on block sums, so a source
+lost.  A pass is cut at a place (block, hash) found per source on sums, first of stretches
+of the block order, then of the blocks of one stretch, then inside one block, so a source
 with most of the rows is never gathered in one task.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from stratalith.llm.common import cut, stash
 
-#: Tokens that a block is meant to hold, and the most blocks of one source.
-BLOCK_TOKENS, MOST_BLOCKS = 1 << 16, 4096
+#: Tokens that a block is meant to hold, and stretches of the block order, as a power of two.
+BLOCK_TOKENS, STRETCHES = 1 << 16, 12
 #: Exponents tried in one pass, and passes: the exponent is exact to 32**-4.
 FAN, PASSES = 33, 4
 #: A source table of so many rows at most is broadcast; a longer one is shuffled.
@@ -85,13 +86,19 @@ def mixture(
 
     Added columns, which replace any of their names: ``n_tokens``, ``weight`` and ``repetition`` of the source (passes over
     it, a fraction), ``pass`` from 0, ``block`` and ``block_order``, by which a reader
-    takes the blocks of a pass.  ``tokens`` counts a row's tokens (words if not given).
+    takes the blocks of a pass; ``realised`` puts the rows in that order.  ``tokens`` counts
+    a row's tokens (words if not given); it is evaluated once, in a copy of ``docs``.
     A null source is a source.  Rows equal in id and text are taken together; a source
     without tokens is shown once.  No rows give no rows.
     """
     counted = tokens if tokens is not None else word_count(F.col(text_col).cast("string"))
     key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.lit(seed))
-    small, _ = stash(docs.select(F.col(source_col).cast("string").alias("__source"), counted.cast("long").alias("t"), key.alias("h")))
+    rows = docs.drop(*(c for c in ADDED if c in docs.columns)).withColumns({"n_tokens": F.coalesce(counted.cast("long"), F.lit(0)), "__h": key, "__src": F.col(source_col).cast("string")})
+    if tokens is not None:
+        rows, _ = stash(rows)
+        small = rows.select(F.col("__src").alias("__source"), F.col("n_tokens").alias("t"), F.col("__h").alias("h"))
+    else:
+        small, _ = stash(rows.select(F.col("__src").alias("__source"), F.col("n_tokens").alias("t"), F.col("__h").alias("h")))
     sources = cut(small.groupBy("__source").agg(F.sum("t").alias("held")))
     n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
     shares = sources.where("held > 0").withColumn("p", F.col("held") / F.lit(float(max(total, 1))))
@@ -104,7 +111,7 @@ def mixture(
         .withColumn("repetition", F.when(F.col("held") > 0, F.round(quota / F.col("held"), 9)).otherwise(1.0))
         .withColumn("full", F.floor("repetition").cast("long"))
         .withColumn("rest", F.floor(quota - F.col("full") * F.col("held") + 1e-6).cast("long"))
-        .withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("held") / BLOCK_TOKENS))).cast("long"))
+        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("held") / BLOCK_TOKENS)).cast("long"))
     )
 
     def beside(rows: DataFrame, column: str, other: DataFrame) -> DataFrame:
@@ -113,13 +120,16 @@ def mixture(
 
     block = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("blocks"))
     order = lambda turn: F.xxhash64(F.col("block"), turn, F.lit(seed))
-    # where the last pass stops: first among the blocks of a source, then inside one block
+    # where the last pass stops: in which stretch of the order, at which block, where inside the block
     partial = plan.where("rest > 0")
     dealt = beside(small, "__source", partial.select("__source", "blocks", "full", "rest")).where("rest > 0").withColumn("block", block).withColumn("o", order(F.col("full")))
-    sums = dealt.groupBy("__source", "block", "o", "rest").agg(F.sum("t").alias("t"))
-    by_block = Window.partitionBy("__source").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = sums.withColumn("upto", F.sum("t").over(by_block)).where("upto > rest").groupBy("__source").agg(
-        F.min(F.struct("o", F.col("block").alias("b"), (F.col("rest") - F.col("upto") + F.col("t")).alias("left"))).alias("e")
+    upto = lambda *by: F.sum("t").over(Window.partitionBy("__source").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums, _ = stash(dealt.groupBy("__source", "block", "o", "rest").agg(F.sum("t").alias("t")).withColumn("stretch", F.shiftright("o", 64 - STRETCHES)))
+    stretches = sums.groupBy("__source", "stretch", "rest").agg(F.sum("t").alias("t")).withColumn("upto", upto("stretch")).where("upto > rest")
+    first = stretches.groupBy("__source").agg(F.min(F.struct("stretch", (F.col("rest") - F.col("upto") + F.col("t")).alias("rest"))).alias("s"))
+    first = cut(first.select("__source", F.col("s.stretch").alias("at"), F.col("s.rest").alias("within")))
+    edge = beside(sums, "__source", first).where("stretch = at").withColumn("upto", upto("o", "block")).where("upto > within").groupBy("__source").agg(
+        F.min(F.struct("o", F.col("block").alias("b"), (F.col("within") - F.col("upto") + F.col("t")).alias("left"))).alias("e")
     )
     edge = cut(edge.select("__source", F.col("e.o").alias("stop_o"), F.col("e.b").alias("stop_b"), F.col("e.left").alias("left")))
     inside = beside(dealt.select("__source", "block", "h", "t"), "__source", edge).where("block = stop_b")
@@ -130,9 +140,13 @@ def mixture(
     last = order(F.col("full"))
     place, end = F.struct(last.alias("o"), F.col("block").alias("b")), F.struct(F.col("stop_o").alias("o"), F.col("stop_b").alias("b"))
     taken = (F.col("rest") > 0) & (F.col("stop_o").isNull() | (place < end) | ((place == end) & F.coalesce(F.col("__h") <= F.col("stop_h"), F.lit(False))))
-    rows = docs.withColumns({"__t": counted.cast("long"), "__h": key, "__src": F.col(source_col).cast("string")})
-    rows = rows.drop(*(c for c in ADDED if c in docs.columns)).withColumnRenamed("__t", "n_tokens")
     rows = beside(rows, "__src", plan).withColumn("h", F.col("__h")).withColumn("block", block)
     times = F.col("full") + F.when(taken, 1).otherwise(0)
     shown = rows.withColumn("__times", times).where("__times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
     return shown.withColumn("block_order", order(F.col("pass"))).select(*(c for c in docs.columns if c not in ADDED), "n_tokens", "weight", "repetition", "pass", "block", "block_order")
+
+
+def realised(shown: DataFrame) -> DataFrame:
+    """The rows of a mixture in its order: pass by pass, each by its permutation of blocks."""
+    by = ["pass", "block_order", "block"]
+    return shown.repartitionByRange(*by).sortWithinPartitions(*by)

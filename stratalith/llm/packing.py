@@ -22,14 +22,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm.common import text_slices
 from stratalith.llm.token_count import WORD_PATTERN, byte_symbols
 
 #: Windows of one group, tokens left free in each on average, and piece sizes tried.
-GROUP, SLACK, CUTS = 32, 5, (4, 8, 16)
+GROUP, SLACK, CUTS = 32, 5, (1, 2, 4, 8, 16)
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -39,6 +39,7 @@ def encoder(path: str):
 
     A byte-level file whose ids follow its merges, without normaliser or prefix, runs on
     the faster of the two libraries that read such vocabularies; any other on its own.
+    The faster one refuses very long runs of white space; the other takes those texts too.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -48,18 +49,26 @@ def encoder(path: str):
         spec["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and spec.get("normalizer") is None
         and merged and None not in merged and all(a < b for a, b in zip(merged, merged[1:]))
     )
-    if not plain:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(path)
-        return lambda text: np.array(tool.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    own = Tokenizer.from_file(path)
+    by_own = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    if not plain:
+        return by_own
     import tiktoken
 
     value = {c: b for b, c in enumerate(byte_symbols())}
     special = {a["content"]: a["id"] for a in spec["added_tokens"]}
     ranks = {bytes(value[c] for c in t): i for t, i in vocab.items() if t not in special}
     tool = tiktoken.Encoding("packed", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: tool.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+
+    def by_either(text: str) -> np.ndarray:
+        try:
+            return tool.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+        except ValueError:
+            return by_own(text)
+
+    return by_either
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -183,6 +192,17 @@ def pack_stream(documents: Iterator[tuple[int | None, np.ndarray]], capacity: in
         yield group
 
 
+def n_tokens(path: str, text: Column) -> Column:
+    """Tokens of a text, without the closing id; a null text has none."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        encode = encoder(path)
+        return pa.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+    return count(text)
+
+
 def _packer(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, first = encoder(path), TaskContext.get().partitionId() << 36

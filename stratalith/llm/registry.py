@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 from stratalith.llm.common import table
 from stratalith.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -12,6 +15,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def _session_key() -> str:
+    return secrets.token_hex(16)
+
+
+def pseudonym_key(spark) -> str:
+    """The configured key; without one a random key, under which values are linked within this application only."""
+    return spark.conf.get("spark.stratalith.pseudonymKey", None) or _session_key()
+
+
 def op1_scaled_fingerprint(spark, sf_dir):
     from stratalith.llm.fingerprint import fingerprints_with_neighbour
 
@@ -56,15 +69,18 @@ def op7_substring_dedup(spark, sf_dir):
 
 
 def op8_temperature_mix(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from stratalith.llm.mixing import mixture
+    from stratalith.llm.packing import n_tokens
 
-    return mixture(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
+    return mixture(table(spark, sf_dir, "documents"), tokens=n_tokens(tokenizer_path(), F.col("text"))).drop("text", "lang", "n_chars")
 
 
 def op9_feistel_pseudonyms(spark, sf_dir):
     from stratalith.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), key=pseudonym_key(spark))
 
 
 def op10_minmax_near_dedup(spark, sf_dir):

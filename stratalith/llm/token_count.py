@@ -54,6 +54,9 @@ class PairMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer") is not None:
+            raise ValueError(f"{path} is not a byte-level file without normaliser and prefix")
         self.words = regex.compile(WORD_PATTERN)
         special = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
