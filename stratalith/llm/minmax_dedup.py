@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm.common import ragged, stash, text_slices
-from stratalith.llm.linking import linked, only_ids
+from stratalith.llm.linking import linked, only_ids, shared_spots, small
 from stratalith.llm.hashing import U, Words, mix, shingles
 
 PERMUTATIONS, BANDS = 129, 43
@@ -55,35 +55,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _signer(shingle: int, lower: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, "text"):
-                values, offsets = shingles(Words(batch.column("text")), shingle, lower)
-                sums = np.concatenate([[U(0)], np.cumsum(mix(values))])
-                other = np.concatenate([[U(0)], np.cumsum(mix(values ^ U(0xD6E8FEB86659FD93)))])
-                keys = band_keys(minmax_signature(values, offsets))
-                sizes = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(_signed(sums[offsets[1:]] - sums[offsets[:-1]])),
-                        pa.array(_signed(other[offsets[1:]] - other[offsets[:-1]])),
-                        ragged(_signed(keys[sizes > 0]).ravel(), np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]), pa.int64()),
-                    ],
-                    names=["id", "n", "k1", "k2", "bands"],
-                )
+def _checks(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """128 bits that tell unlike sets apart."""
+    sums = (np.concatenate([[U(0)], np.cumsum(mix(values ^ U(salt)))]) for salt in (0, 0xD6E8FEB86659FD93))
+    return [pa.array(_signed(s[offsets[1:]] - s[offsets[:-1]])) for s in sums]
 
-    return run
 
+def _signer(shingle: int, lower: bool, full: bool):
+    """(id, n, k1, k2) of each text, and its band keys or, if ``full``, its set."""
 
-def _setter(shingle: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 values, offsets = shingles(Words(batch.column("text")), shingle, lower)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), ragged(_signed(values), offsets, pa.int64())], names=["id", "set"])
+                sizes = np.diff(offsets)
+                if full:
+                    own = ragged(_signed(values), offsets, pa.int64())
+                else:
+                    keys = band_keys(minmax_signature(values, offsets))
+                    own = ragged(_signed(keys[sizes > 0]).ravel(), np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), *_checks(values, offsets), own], names=["id", "n", "k1", "k2", "set" if full else "bands"])
 
     return run
 
@@ -96,26 +87,33 @@ def near_duplicates(
     Links join documents whose distinct shingle sets have a Jaccard similarity of at
     least ``percent`` / 100.  A text with fewer words than ``shingle`` is one shingle; a
     null, empty or blank text has none and is a component of its own.  Rows that repeat
-    an id each get a row; a row whose id is null has a null component and is kept.
-    Other columns are ignored.  No rows give no rows.
+    an id are documents of their own and each get a row; a row whose id is null has a
+    null component and is kept.  Other columns are ignored.  No rows give no rows.
     """
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed, _ = stash(whole.mapInArrow(_signer(shingle, lower), "id long, n long, k1 long, k2 long, bands array<long>"))
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.max("n").alias("n")
-    )
-    banded, _ = stash(classes.select("rep", "n", F.explode("bands").alias("key")))
-
-    def fetch(ids: DataFrame, n: int) -> DataFrame:
-        rows = only_ids(whole.where("id IS NOT NULL"), "id", ids, n)
-        return rows.mapInArrow(_setter(shingle, lower), "id long, set array<long>").dropDuplicates(["id"])
-
-    final = linked(banded, fetch, percent).select(F.col("node").alias("rep"), "component")
-    roots = classes.select("k1", "k2", "rep").join(final, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("root"))
+    signed, _ = stash(whole.mapInArrow(_signer(shingle, lower, False), "id long, n long, k1 long, k2 long, bands array<long>"))
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("least"))
+    # a stored number stands for a class from here on
+    classes, _ = stash(classes.withColumn("rep", F.monotonically_increasing_id()))
+    n_classes = classes.count()
+    firsts = signed.join(small(classes, n_classes), ["k1", "k2"]).where("id = least")
+    repeats = firsts.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
+    once = firsts.select("rep", "bands").join(repeats, "rep", "left_anti").union(firsts.join(repeats, "rep").groupBy("rep").agg(F.min("bands").alias("bands")))
+    spots = shared_spots(once)
+    needed, _ = stash(only_ids(classes, "rep", spots.select("rep").distinct(), n_classes))
+    ids = needed.select("least").distinct()
+    texts = only_ids(whole, "id", ids, ids.count()).mapInArrow(_signer(shingle, lower, True), "id long, n long, k1 long, k2 long, set array<long>")
+    sets, _ = stash(texts.join(small(needed, n_classes), ["k1", "k2"]).where("id = least").select(F.col("rep").alias("id"), "set"))
+    alone = sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    sets = sets.join(alone, "id", "left_anti").union(sets.join(alone, "id").groupBy("id").agg(F.min("set").alias("set")))
+    final = linked(spots, lambda own, n: sets.join(small(own, n), "id"), percent)
+    roots = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = roots.groupBy("component").agg(F.min("least").alias("root"))
+    roots = roots.join(least, "component").select("k1", "k2", "root")
     component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
     return (
-        signed.select("id", "n", "k1", "k2").join(roots, ["k1", "k2"], "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        signed.select("id", "n", "k1", "k2").join(small(roots, n_classes), ["k1", "k2"], "left")
+        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
