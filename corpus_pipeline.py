@@ -2,7 +2,8 @@
 
 Toxic documents go, repeated lines go, one document of each near-duplicate group stays,
 sources are mixed to tempered weights (each document at least once, the smallest sources
-up to twice), and the result is packed into windows of 1024 tokens.
+up to twice) and put in the order of the block permutations, and the result is packed
+into windows of 1024 tokens.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mixing.mixture(docs).select(*docs.columns)
+    shown = mixing.mixture(docs, tokens=packing.n_tokens(tokenizer_path(), F.col("text")))
+    return mixing.realised(shown).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
