@@ -40,15 +40,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         seen = now
     roots = state.select(F.col("v").alias("u"), F.col("v"))
     return state.union(roots.distinct()).toDF("node", "component")
-
-
-def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) after further ``links`` (a, b), by contraction of the components they meet."""
-    of = lambda column, name: labels.select(F.col("node").alias(column), F.col("component").alias(name))
-    met = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    met = cut(met)
-    moved = cut(components(met, "ca", "cb").toDF("component", "root"))
-    old = labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    fresh = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti")
-    fresh = fresh.join(moved.withColumnRenamed("component", "node"), "node").select("node", F.col("root").alias("component"))
-    return cut(old.union(fresh))

@@ -2,18 +2,21 @@
 
 A line's shingles are the ten characters from each word's beginning on, and in a word of
 more than ten characters those from every place on until the word's last ten, so that
-every character counts; equal lines collapse first.  The sorted shingle hashes fall into bins by value, and the least of
-each bin is a one-permutation MinHash signature: 8 bands of 3 bins.  Lines of 4 to 20
-shingles, whose bins may stay empty, are keyed by every four neighbours of their sorted
-set, closed to a ring.  That loses no link: where c shingles are common and d are not,
-at most 3 d of the fours between common ones are torn, and c >= 4 d at 0.8.  Sets of up
-to 3 shingles are linked only if equal.
-``linking`` confirms links on full sets (Jaccard 0.8) and joins them; of each component
-the first line stays.
-
-A pair with a line of more than 20 shingles has bands on both sides.  One of long lines
-of similarity 0.8 shares no band with probability (1 - 0.8**3)**8 = 0.3 %, one of
-similarity 0.9 with 3e-5.  Equality of lines and of shingles is by 64-bit hash.
+every character counts.  (Shingles from every place of every word would be six times as
+many, and the interpreted array functions that make them already take most of the time.)
+Equal lines collapse first, by 128 bits of hash.
+
+The sorted shingle hashes are a MinHash signature under one permutation: from the least
+hash of each eighth of the hash range on, three neighbours make a band key.  Lines of 4 to
+28 shingles are keyed by every four neighbours of their sorted set, closed to a ring.  That
+loses no link: where c shingles are common and d are not, at most 3 d of the fours
+between common ones are torn, and c >= 4 d at 0.8.  Sets of up to 3 shingles are linked only
+if equal.  ``linking`` confirms links on full sets (Jaccard 0.8) and joins them; of each
+component the first line stays.
+
+A pair with a line of more than 28 shingles has band keys on both sides.  One of long
+lines of similarity 0.8 shares none with probability (1 - 0.8**3)**8 = 0.3 %, one of
+similarity 0.9 with 3e-5.  Equality of shingles is by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalith.llm.common import stash
-from stratalith.llm.linking import linked, only_ids
+from stratalith.llm.common import cut, stash
+from stratalith.llm.linking import linked, shared_spots, small
 
 SHINGLE = 10
 #: Neighbours in a key of a short line; a fifth would lose links at 0.8.
 RING = 4
+#: Shingles up to which a line has those keys, and from which on it has bands; lines on both sides of SHORT that are linked both have bands.
+SHORT, LONG = 28, 23
+#: Rows of a table of needed lines that is broadcast at most (50 MB).
+BROADCAST_LINES = 1 << 20
 _LEAST_ID = -(2**63)
 
 
@@ -36,28 +43,17 @@ def line_shingles(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
-def _parts(h: Column, bits: int) -> Column:
-    """Keys of the non-empty parts of a sorted set, dealt out by the top bits of its hashes."""
-    n = 1 << bits
-    part = lambda x: F.shiftright(x, 64 - bits) if bits else F.lit(0)
-    slots = F.sequence(F.lit(-(n // 2)), F.lit(n - n // 2 - 1)) if bits else F.array(F.lit(0))
-    parts = F.filter(F.transform(slots, lambda j: F.filter(h, lambda x: part(x) == j)), lambda p: F.size(p) > 0)
-    return F.transform(parts, lambda p: F.xxhash64(p, F.lit(bits)))
-
-
 def band_keys(h: Column) -> Column:
     """Band keys of a sorted shingle set by its size."""
     n = F.size(h)
-    # three bins a band: the last takes two quarters of the band's range
-    quarter = lambda x: F.shiftright(x, 59)
-    opens = lambda x, before: (quarter(x) != quarter(before)) & ((quarter(x).bitwiseAND(F.lit(3)) != 3) | (quarter(x) - quarter(before) > 1))
-    least = lambda s: F.filter(s, lambda x, i: F.when(i == 0, True).otherwise(opens(x, F.get(s, i - 1))))
+    eighth = lambda i: F.shiftright(F.get(h, i), 61)
+    opens = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(eighth(i - 1) != eighth(i - 2)))
     ring = lambda s: F.transform(h, lambda x, i: F.xxhash64(F.slice(s, i + 1, F.lit(RING))))
     none = F.array().cast("array<bigint>")
     return F.concat(
-        F.when(n.between(1, 3), _parts(h, 0)).otherwise(none),
-        F.when(n.between(RING, 20), _bound(F.concat(h, F.slice(h, 1, RING - 1)), ring)).otherwise(none),
-        F.when(n >= 17, _bound(least(h), lambda m: _parts(m, 3))).otherwise(none),
+        F.when(n.between(1, 3), F.array(F.xxhash64(h))).otherwise(none),
+        F.when(n.between(RING, SHORT), _bound(F.concat(h, F.slice(h, 1, RING - 1)), ring)).otherwise(none),
+        F.when(n >= LONG, F.transform(opens, lambda i: F.xxhash64(F.slice(h, i, F.lit(3)), eighth(i - 1)))).otherwise(none),
     )
 
 
@@ -72,34 +68,43 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(_LEAST_ID)).alias("id"), F.xxhash64(text).alias("th"), lines.alias("lines"))
 
 
+def _place() -> Column:
+    """One ordered number for (id, pos)."""
+    return F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(id, th, removed): for each document that loses lines, their places from 0, in order.
 
     ``id`` and ``th`` tell documents apart: the id (the least long for null) and a hash
     of the text.  A line goes if a like line of its component stands earlier: in a
-    smaller id, or earlier in its document.  Blank lines never go.  Rows equal in id and
-    text are one document.
+    smaller id, or earlier in its document; documents that share an id keep what stands
+    at one place in them.  Blank lines never go.  Rows equal in id and text are one document.
     """
     base = _documents(docs, id_col, text_col)
     placed = base.select("id", "th", F.posexplode("lines").alias("pos", "line"))
-    hashed = placed.select("id", "th", "pos", F.xxhash64("line").alias("lh"), "line")
-    shingled = hashed.select("id", "th", "pos", "lh", _bound(line_shingles(F.col("line")), lambda h: F.struct(F.size(h).alias("n"), band_keys(h).alias("bands"))).alias("s"))
-    lines, _ = stash(
-        shingled.where("s.n > 0").groupBy("lh").agg(
-            F.min(F.struct("id", "th", "pos")).alias("at"), F.count("*").alias("copies"), F.first("s.n").alias("n"), F.first("s.bands").alias("bands")
-        )
-    )
-    banded, _ = stash(lines.select(F.col("lh").alias("rep"), "n", F.explode("bands").alias("key")))
+    hashed = placed.select("id", "th", "pos", F.xxhash64("line").alias("lh"), F.xxhash64(F.lit(7), "line").alias("l2"), "line")
+    shingled = hashed.select("id", "th", "pos", "lh", "l2", _bound(line_shingles(F.col("line")), band_keys).alias("bands")).where(F.size("bands") > 0)
+    lined, _ = stash(shingled)
+    lines, _ = stash(lined.groupBy("lh", "l2").agg(F.min(_place()).alias("at"), F.count("*").alias("copies")))
+    # one 64-bit number stands for a line among its neighbours; lines that would share one are compared as a whole only
+    clashing = cut(lines.groupBy("lh").agg(F.count("*").alias("c")).where("c > 1").select("lh"))
+    spots = shared_spots(lined.join(F.broadcast(clashing), "lh", "left_anti").select(F.col("lh").alias("rep"), "bands"))
+    again = base.groupBy("id", "th").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    texts = hashed if again else base.dropDuplicates(["id", "th"]).select("id", "th", F.posexplode("lines").alias("pos", "line")).withColumn("lh", F.xxhash64("line"))
 
     def fetch(ids: DataFrame, n: int) -> DataFrame:
-        rows = only_ids(hashed, "lh", ids, n).select(F.col("lh").alias("id"), "line").dropDuplicates(["id"])
-        return rows.select("id", line_shingles(F.col("line")).alias("set"))
-
-    found = linked(banded, fetch, percent).select(F.col("node").alias("lh"), "component")
-    member = lines.select("lh", "at", "copies").join(found, "lh", "left").where("copies > 1 OR component IS NOT NULL")
-    first = member.groupBy(F.coalesce("component", "lh").alias("root")).agg(F.min("at").alias("first"))
-    keeper = member.withColumn("root", F.coalesce("component", "lh")).join(first, "root").select("lh", "first")
-    gone = hashed.select("id", "th", "pos", "lh").join(keeper, "lh").where(F.struct("id", "th", "pos") != F.col("first"))
+        wanted = lines.join(small(ids.withColumnRenamed("id", "lh"), n), "lh").select("lh", "at")
+        rows = texts.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lh").where(_place() == F.col("at"))
+        return rows.select(F.col("lh").alias("id"), line_shingles(F.col("line")).alias("set"))
+
+    found = linked(spots, fetch, percent).select(F.col("node").alias("lh"), "component")
+    member = lines.join(found, "lh", "left").where("copies > 1 OR component IS NOT NULL")
+    member = member.withColumns({"root": F.coalesce("component", "lh"), "alone": F.when(F.col("component").isNull(), F.col("l2"))})
+    first = member.groupBy("root", "alone").agg(F.min("at").alias("first"))
+    same = (member["root"] == first["root"]) & member["alone"].eqNullSafe(first["alone"])
+    keeper, _ = stash(member.join(first, same).select("lh", "l2", "first"))
+    gone = lined.select("id", "th", "pos", "lh", "l2").join(keeper, ["lh", "l2"]).where(_place() != F.col("first"))
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 

@@ -1,9 +1,8 @@
 """From banded signatures to components: candidate search that stays linear in a group.
 
-Members of a band are first compared with its most central member, the pivot; union-find
-joins what is confirmed, and a band whose members are all joined is done.  What stays
-apart in a small band meets further pivots and is then compared one by one, across
-components.
+Members of a band are first compared with its most central member, the pivot, and a band
+whose members it all joins is done.  What it leaves apart in a small band is compared one
+by one with the others.  Union-find joins what is confirmed.
 
 In a crowded band that would be the square of the group, so there the group's core p, what
 more than half of it has, is subtracted.  A member x lacks A = p - x and adds E = x - p, and
@@ -28,12 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.llm.common import cut, stash
-from stratalith.llm.components import components, joined_components
+from stratalith.llm.components import components
 
 #: Members of a band up to which those in different components are compared one by one.
 CROWD = 16
-#: Rounds with pivots among the members that the first pivot did not join.
-MORE_PIVOTS = 2
 #: A table of so many ids at most (32 MB) is broadcast; a longer one is shuffled.
 BROADCAST_IDS = 1 << 21
 
@@ -50,11 +47,11 @@ def small(rows: DataFrame, n: int) -> DataFrame:
 
 
 def shared_spots(signed: DataFrame) -> DataFrame:
-    """(rep, key, members) of the band keys that unlike members share; ``signed`` has (rep, bands), rows of a rep being alike."""
+    """(rep, key, members) of the band keys that unlike members share; ``signed`` has (rep, bands), rows of a rep being alike; its copies count as members."""
     each = signed.select("rep", F.explode("bands").alias("key"))
     counted = each.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     keys, _ = stash(counted.where("lo < hi").select("key", "members"))
-    return stash(each.join(small(keys, keys.count()), "key").select("rep", "key", "members"))[0]
+    return stash(each.join(small(keys, keys.count()), "key").select("rep", "key", "members").distinct())[0]
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
@@ -78,20 +75,17 @@ def _led(spots: DataFrame) -> DataFrame:
     return weighed.groupBy("key").agg(F.max_by("rep", order).alias("pivot"))
 
 
-def _torn(led: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, pivot, rep, members, c, cp) of the bands that still hold several components."""
-    n = labels.count()
-    of = lambda rows, column, name: (
-        rows.join(small(labels.select(F.col("node").alias("__n"), F.col("component").alias("__c")), n), F.col(column) == F.col("__n"), "left")
-        .withColumn(name, F.coalesce("__c", column)).drop("__n", "__c")
-    )
-    held = of(of(led, "rep", "c"), "pivot", "cp")
-    keys = cut(held.where("c <> cp").select("key").distinct())
+def _torn(led: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, pivot, rep, members, c) of the bands that hold a member which their pivot does not join; c is the pivot where it does."""
+    n = links.count()
+    joined = small(links.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("linked")), n)
+    held = led.join(joined, ["rep", "pivot"], "left").withColumn("c", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("rep"))).drop("linked")
+    keys = cut(held.where((F.col("c") != F.col("pivot")) & (F.col("members") > 2)).select("key").distinct())
     return stash(held.join(small(keys, keys.count()), "key", "left_semi"))[0]
 
 
 def _one_by_one(torn: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs across the components of small bands."""
+    """Pairs of small bands that do not both hang on the pivot."""
     sized = torn.where(F.col("members") <= CROWD).join(sizes, "rep").select("key", "rep", "c", "n")
     x, y = (sized.select("key", *(F.col(c).alias(c + side) for c in ("rep", "c", "n"))) for side in "xy")
     alike = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
@@ -138,7 +132,7 @@ def _overlap_bound(bits: str, size: str) -> Column:
 
 
 def _by_differences(torn: DataFrame, apart: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Pairs across the components of crowded bands that the differences from the core do not rule out."""
+    """Pairs of crowded bands that the differences from the core do not rule out."""
     members = torn.where(F.col("members") > CROWD).select("pivot", "rep", "c").distinct()
     a, e, v, spare, vm, both = F.col("a"), F.col("e"), F.col("v"), (100 - percent) * F.col("np"), F.col("vm"), 100 + percent
     sized, _ = stash(
@@ -185,26 +179,15 @@ def linked(spots: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], perce
     pivots = cut(_led(spots))
     led = spots.join(small(pivots, pivots.count()), "key")
     pairs = cut(led.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-    labels = cut(components(confirmed(pairs, got(pairs.select("a")), got(pairs.select("b")), percent), "a", "b"))
-    torn = _torn(led, labels)
+    links = cut(confirmed(pairs, got(pairs.select("a")), got(pairs.select("b")), percent))
+    torn = _torn(led, links)
     sets, _ = stash(got(torn.select("rep").union(torn.select("pivot"))))
+    sizes = sets.select(F.col("id").alias("rep"), F.size("set").cast("long").alias("n"))
+    across = _one_by_one(torn, sizes, percent)
     apart, _ = stash(_differences(torn, sets).withColumn("v", 100 * F.col("a") + percent * F.col("e")))
     hubs = cut(apart.groupBy("pivot").agg(F.min("v").alias("vm"), F.max_by("rep", F.struct(-F.col("v"), -F.col("rep"))).alias("hub")))
     if not hubs.isEmpty():
-        pairs = cut(apart.join(small(hubs, hubs.count()), "pivot").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-        labels = joined_components(labels, cut(confirmed(pairs, sets, sets, percent)))
-        torn = _torn(torn.drop("c", "cp"), labels)
-    for turn in range(MORE_PIVOTS):
-        rest = torn.where((F.col("c") != F.col("cp")) & (F.col("members") > 2))
-        if rest.isEmpty():
-            break
-        lead = rest.groupBy("key").agg(F.max_by(F.struct("rep", "c"), F.xxhash64("c", "rep", F.lit(turn))).alias("lead"))
-        pairs = cut(rest.join(lead, "key").where("c <> lead.c").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct())
-        new = cut(confirmed(pairs, sets, sets, percent))
-        if new.isEmpty():
-            break
-        labels = joined_components(labels, new)
-        torn = _torn(torn.drop("c", "cp"), labels)
-    sizes = sets.select(F.col("id").alias("rep"), F.size("set").cast("long").alias("n"))
-    across = cut(_one_by_one(torn, sizes, percent).union(_by_differences(torn, apart, hubs, percent)).distinct())
-    return joined_components(labels, confirmed(across, sets, sets, percent))
+        to_hub = apart.join(small(hubs, hubs.count()), "pivot").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        across = across.union(to_hub).union(_by_differences(torn, apart, hubs, percent))
+    more = confirmed(cut(across.distinct()), sets, sets, percent)
+    return components(links.union(more), "a", "b")

@@ -464,10 +464,10 @@ def test_short_lines_lose_no_link(spark):
     """Pairs of 0.8 and just above, of every size that is keyed without bands, share a key."""
     rng = random.Random(10)
     draw = lambda k: [rng.getrandbits(64) - 2**63 for _ in range(k)]
-    sizes = [(a, b, c) for b in range(4, 23) for a in range(3, b + 1) for c in range(3, a + 1) if 10 * c >= 8 * (a + b - c)]
+    sizes = [(a, b, c) for b in range(4, 29) for a in range(3, b + 1) for c in range(3, a + 1) if 10 * c >= 8 * (a + b - c)]
     rows = []
     for a, b, c in sizes:
-        for _ in range(40):
+        for _ in range(25):
             both = draw(c)
             rows.append((a, b, c, sorted(both + draw(a - c)), sorted(both + draw(b - c))))
     pairs = spark.createDataFrame(rows, "a int, b int, c int, x array<long>, y array<long>")
