@@ -283,8 +283,10 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         F.lit(False),
     )
     keyed = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64("v", F.lit(1))})
-    rows = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
-    classes = rows.select("k1", "k2", "rep", "size")
+    rows = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v"))
+    # a stored number stands for a class from here on, since ids may repeat
+    rows, _ = stash(rows.withColumn("rep", F.monotonically_increasing_id()))
+    classes = rows.select("k1", "k2", "rep", "size", "least")
     vectors, _ = stash(rows.select("rep", "size", F.size("v").cast("long").alias("dim"), "v").mapInArrow(_to_binary, "rep long, size long, dim long, vec binary"))
     n = vectors.count()
     bits = max(1, int(np.ceil(np.log2(max(2, n / CELL)))))
@@ -303,8 +305,10 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         warnings.warn(f"near_vectors: audited recall of links is {recall:.4f}, below {ENOUGH}", RuntimeWarning, stacklevel=2)
     found = (
         classes.join(counted, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("k1", "k2", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("k1", "k2", "least", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
+    roots = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = found.join(roots, "component").select("k1", "k2", "n_links", "component_id")
     out = keyed.select("vec_id", "fine", "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select(
