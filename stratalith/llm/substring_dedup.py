@@ -4,8 +4,9 @@ Each chunk of documents hashes all its windows, keeps the first of those that re
 inside the chunk, and deals the rest out to buckets by hash as packed arrays; a bucket
 finds the windows that start earlier elsewhere.  A frequent window thus travels once a
 chunk, not once an occurrence.  Marked starts return to their documents, a packed row
-for many of them, and merge there into maximal removal intervals.  Windows are compared
-by 64-bit hash.
+for many of them, and merge there into maximal removal intervals.  Windows are equal if
+two independent hashes are: one of 64 bits, and one that picks the bucket, whose number
+grows with the input.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from stratalith.llm.hashing import U, Words, mix, windows
 
 #: Words that one chunk hashes together, and windows that one bucket is meant to hold.
 CHUNK_WORDS, BUCKET_WINDOWS = 1 << 20, 3 << 20
+#: Turns word hashes into those of the second window hash.
+OTHER = U(0xC2B2AE3D27D4EB4F)
 #: Documents that get their marks back together.
 HOME_DOCS = 1024
 _LEAST_ID = -(2**63)
@@ -70,15 +73,15 @@ def _chunk_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     n = np.maximum(counts - k + 1, 0)
     doc = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    hashed = windows(h, k)[first[doc] + start] if len(doc) else np.zeros(0, dtype=U)
+    hashed, other = (windows(x, k)[first[doc] + start] if len(doc) else np.zeros(0, dtype=U) for x in (h, mix(h ^ OTHER)))
     by_hash = np.argsort(hashed, kind="stable")
     again = np.zeros(len(doc), dtype=bool)
-    again[by_hash[1:]] = hashed[by_hash[1:]] == hashed[by_hash[:-1]]
+    again[by_hash[1:]] = (hashed[by_hash[1:]] == hashed[by_hash[:-1]]) & (other[by_hash[1:]] == other[by_hash[:-1]])
     rows: list[tuple] = [
         (home % buckets, None, None, None, home, docs, starts) for home, docs, starts in _by_home(ids[doc[again]], ths[doc[again]], start[again], homes)
     ]
     sent = np.flatnonzero(~again)
-    bucket = ((hashed[sent] >> U(20)) % U(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
+    bucket = ((other[sent] >> U(20)) % U(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
