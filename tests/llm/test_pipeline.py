@@ -47,6 +47,12 @@ def test_stages(spark, tmp_path):
         want[i] = n * len(ids)
         for p in (p for p in seen["packing"] if p["doc_id"] == i):
             assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+    copies = {i for i, n in shown.items() if n > 1}
+    where = {}
+    for p in seen["packing"]:
+        if p["doc_id"] in copies and p["start"] == 0:
+            where.setdefault(p["doc_id"], []).append(p["sequence_id"])
+    assert copies and all(len(set(w)) == len(w) for w in where.values())
     packed = collections.Counter()
     for p in seen["packing"]:
         packed[p["doc_id"]] += p["length"]
