@@ -39,6 +39,9 @@ INTENTS = [
 ]
 
 
+_STOPPED = "^(?:" + "|".join(STOP_WORDS) + ")$"
+
+
 def _strings(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
@@ -51,7 +54,7 @@ def index_tokens(text: Column) -> Column:
 def ranked_tokens(text: Column) -> Column:
     """Word characters of any script and hyphens, two or longer, without stop words."""
     found = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s\-]", " "), r"\s+")
-    return F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(_strings(STOP_WORDS), t))
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.rlike(_STOPPED))
 
 
 def scoring_tokens(text: Column) -> Column:

@@ -32,7 +32,7 @@ def conflicts(files: DataFrame) -> DataFrame:
 
 
 def fuse(primary: DataFrame, secondary: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """(path, sha256, size, origin, resolution): the merged manifest.
+    """(path, sha256, size, side, resolution): the merged manifest.
 
     ``resolutions`` (path, resolution) say take_primary, take_secondary or skip for paths
     in conflict; a path in conflict without one is kept open with a null hash, and any
@@ -45,23 +45,22 @@ def fuse(primary: DataFrame, secondary: DataFrame, resolutions: DataFrame) -> Da
     pick = (
         F.when(~clash, F.coalesce("a", "b")).when(F.col("resolution") == "take_primary", F.col("a")).when(F.col("resolution") == "take_secondary", F.col("b"))
     )
-    origin = F.when(clash, "conflict").when(F.col("b").isNull(), "primary").when(F.col("a").isNull(), "secondary").otherwise("shared")
+    side = F.when(clash, "conflict").when(F.col("b").isNull(), "primary").when(F.col("a").isNull(), "secondary").otherwise("shared")
     open_ = clash & F.col("resolution").isNull()
-    rows = both.select("path", pick.alias("f"), origin.alias("origin"), F.when(clash, F.coalesce("resolution", F.lit("unresolved"))).alias("resolution"), open_.alias("open"))
-    return rows.where(F.col("f").isNotNull() | F.col("open")).select("path", "f.sha256", "f.size", "origin", "resolution")
+    rows = both.select("path", pick.alias("f"), side.alias("side"), F.when(clash, F.coalesce("resolution", F.lit("unresolved"))).alias("resolution"), open_.alias("open"))
+    return rows.where(F.col("f").isNotNull() | F.col("open")).select("path", "f.sha256", "f.size", "side", "resolution")
 
 
 def split(files: DataFrame, directives: DataFrame) -> DataFrame:
-    """(child, path, sha256, size, lost): what each child of a split holds.
+    """(child, path, sha256, size, lost, truncated): what each child of a split holds.
 
-    ``directives`` (path, child, transform, length, lossy): copy, slice, filter, redact or drop.  A
-    drop loses the whole file; a slice what it leaves of it; both only where it is lossy.
+    ``directives`` (path, child, transform, length): copy, slice, filter, redact or drop.  A
+    drop loses the bytes of the whole file; a slice that leaves some of it out is truncated.
     """
     joined = files.join(directives, "path")
-    lost = F.when(F.col("transform") == "drop", F.col("size")).when(F.col("transform") == "slice", F.greatest(F.col("size") - F.col("length"), F.lit(0))).otherwise(0)
-    size = F.when(F.col("transform") == "slice", F.least("size", "length")).otherwise(F.col("size"))
-    dropped = F.col("transform") == "drop"
-    return joined.select("child", "path", F.when(~dropped, F.col("sha256")).alias("sha256"), F.when(~dropped, size).alias("size"), lost.alias("lost"))
+    dropped, sliced = F.col("transform") == "drop", F.col("transform") == "slice"
+    size = F.when(sliced, F.least("size", "length")).otherwise(F.col("size"))
+    return joined.select("child", "path", F.when(~dropped, F.col("sha256")).alias("sha256"), F.when(~dropped, size).alias("size"), F.when(dropped, F.col("size")).otherwise(0).alias("lost"), (sliced & (F.col("size") > F.col("length"))).alias("truncated"))
 
 
 def unaccounted(files: DataFrame, directives: DataFrame) -> DataFrame:

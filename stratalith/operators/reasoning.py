@@ -12,13 +12,13 @@ from stratalith.functions.text import NEGATION_PAIRS, SCORING_STOP_WORDS
 
 # The steps of each intent's plan.
 PLANS = {
-    "define": ["retrieve", "define", "format"],
+    "define": ["retrieve", "synthesize", "format"],
     "explain": ["retrieve", "deduce", "synthesize", "format"],
-    "compare": ["retrieve", "compare", "format"],
-    "find": ["retrieve", "format"],
+    "compare": ["retrieve", "compare", "synthesize", "format"],
+    "find": ["retrieve", "verify", "format"],
     "prove": ["retrieve", "deduce", "verify", "format"],
-    "verify": ["retrieve", "verify", "format"],
-    "unknown": ["retrieve", "unknown"],
+    "verify": ["retrieve", "deduce", "format"],
+    "unknown": ["retrieve", "synthesize", "format"],
 }
 
 

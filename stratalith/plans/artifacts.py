@@ -73,7 +73,7 @@ RESOLUTIONS = """(SELECT DISTINCT path, CASE l_orderkey % 5 WHEN 0 THEN 'take_pr
  FROM {FILES} a FULL JOIN {OTHER} b USING (path) LEFT JOIN {RESOLUTIONS} r USING (path))
  SELECT path, coalesce(CASE WHEN NOT clash THEN coalesce(ha, hb) WHEN resolution = 'take_primary' THEN ha WHEN resolution = 'take_secondary' THEN hb END, '') AS sha256,
  coalesce(CASE WHEN NOT clash THEN CASE WHEN ha IS NULL THEN zb ELSE za END WHEN resolution = 'take_primary' THEN za WHEN resolution = 'take_secondary' THEN zb END, -1) AS size,
- CASE WHEN clash THEN 'conflict' WHEN hb IS NULL THEN 'primary' WHEN ha IS NULL THEN 'secondary' ELSE 'shared' END AS origin, CASE WHEN clash THEN coalesce(resolution, 'unresolved') ELSE '' END AS resolution
+ CASE WHEN clash THEN 'conflict' WHEN hb IS NULL THEN 'primary' WHEN ha IS NULL THEN 'secondary' ELSE 'shared' END AS side, CASE WHEN clash THEN coalesce(resolution, 'unresolved') ELSE '' END AS resolution
  FROM j WHERE NOT clash OR resolution IS NULL OR resolution IN ('take_primary', 'take_secondary')""")
 def fusion_target(spark, d):
     files = manifest_files(spark, d)
@@ -90,19 +90,19 @@ def _directives(files):
 
 
 SPLIT = f"""(SELECT l_orderkey % 3 AS child, path, CASE WHEN l_orderkey % 10 <> 0 THEN sha256 END AS sha256, CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_orderkey % 10 = 1 THEN least(size, 5) ELSE size END AS size,
- CASE WHEN l_orderkey % 10 = 0 THEN size WHEN l_orderkey % 10 = 1 THEN greatest(size - 5, 0) ELSE 0 END AS lost FROM {FILES} WHERE l_orderkey % 17 <> 0)"""
+ CASE WHEN l_orderkey % 10 = 0 THEN size ELSE 0 END AS lost, l_orderkey % 10 = 1 AND size > 5 AS truncated FROM {FILES} WHERE l_orderkey % 17 <> 0)"""
 
 
-@query(f"SELECT child, path, coalesce(sha256, '') AS sha256, coalesce(size, -1) AS size, lost FROM {SPLIT}")
+@query(f"SELECT child, path, coalesce(sha256, '') AS sha256, coalesce(size, -1) AS size, lost, truncated FROM {SPLIT}")
 def fission_children(spark, d):
     files = manifest_files(spark, d)
     held = packs.split(files.drop("l_orderkey"), _directives(files))
     return held.withColumns({"sha256": F.coalesce("sha256", F.lit("")), "size": F.coalesce("size", F.lit(-1).cast("long"))})
 
 
-@query(f"SELECT child, count(*) AS files, sum((sha256 IS NULL)::INT)::BIGINT AS dropped, sum(lost)::BIGINT AS bytes_lost FROM {SPLIT} GROUP BY child")
+@query(f"SELECT child, count(*) AS files, sum((sha256 IS NULL)::INT)::BIGINT AS dropped, sum(truncated::INT)::BIGINT AS truncated, sum(lost)::BIGINT AS bytes_lost FROM {SPLIT} GROUP BY child")
 def fission_loss(spark, d):
-    return fission_children(spark, d).groupBy("child").agg(F.count("*").alias("files"), F.count_if(F.col("sha256") == "").alias("dropped"), F.sum("lost").alias("bytes_lost"))
+    return fission_children(spark, d).groupBy("child").agg(F.count("*").alias("files"), F.count_if(F.col("sha256") == "").alias("dropped"), F.count_if(F.col("truncated")).alias("truncated"), F.sum("lost").alias("bytes_lost"))
 
 
 @query(f"SELECT path FROM {FILES} WHERE l_orderkey % 17 = 0")
@@ -253,7 +253,7 @@ def phrase_codec_roundtrip(spark, d):
     return table(spark, d, "documents").select("doc_id", _vectorised("phrase_round_trip", "text").alias("r")).select("doc_id", F.col("r.intact").alias("intact"))
 
 
-@query("SELECT page_id, greatest(1, ceil(least(octet_length(encode(html)), 8192) / 2048))::BIGINT AS n_blocks, true AS intact FROM pages")
+@query("SELECT page_id, ceil(octet_length(encode(html)) / 2048)::BIGINT AS n_blocks, true AS intact FROM pages")
 def container_roundtrip(spark, d):
     return table(spark, d, "pages").select("page_id", _vectorised("container_round_trip", "html").alias("r")).select("page_id", "r.n_blocks", "r.intact")
 

@@ -105,3 +105,22 @@ def test_stream_of_files_matches_batch(spark, tmp_path):
     live = sessions.tumbling(stream, "ts", "1 hour", "user_id", watermark="10 minutes")
     sessions.run_once(live, str(tmp_path / "out"), str(tmp_path / "log"))
     assert 0 < spark.read.parquet(str(tmp_path / "out")).count() <= batch
+
+
+def test_chunks():
+    from stratalith.operators.chunking import chunks
+
+    assert chunks(None) == chunks(" \n\n ") == []
+    assert chunks("aa\n\nbb\n\n\n\ncc", 8) == ["aa\n\nbb", "cc"]
+    assert chunks("one\n\nfour five six\n\ntwo", 9) == ["one", "four five", "six", "two"]
+    assert chunks("x" * 30 + " y", 9) == ["x" * 30, "y"]
+    text = "\n\n".join(" ".join(["wörd"] * n) for n in (1, 3, 200, 2, 90, 1, 1))
+    out = chunks(text)
+    assert all(len(c.encode()) <= 512 for c in out) and " ".join(out).split() == text.split()
+
+
+def test_phrases_match_longest_first():
+    entries = [b"ab", b"abc", b"c"]
+    woven = codecs.phrase_encode(b"xabcab\nc", entries)
+    assert woven[32:] == b"\x00\x01x\x01\x01\x01\x00\x00\x01\n\x01\x02" and codecs.phrase_decode(woven, entries) == b"xabcab\nc"
+    assert codecs.phrase_decode(codecs.phrase_encode(b"plain", []), []) == b"plain"
