@@ -101,9 +101,9 @@ def _differences(torn: DataFrame, sets: DataFrame) -> DataFrame:
         mine.join(small(members, members.count()), "rep").join(its, "pivot")
         .select("pivot", "rep", F.size("p").cast("long").alias("np"), F.array_except("p", "s").alias("lacks"), F.array_except("s", "p").alias("adds"))
     )
-    sized = apart.groupBy("pivot").agg(F.count("*").alias("group"))
+    sized = cut(apart.groupBy("pivot").agg(F.count("*").alias("group")))
     told = apart.select("pivot", F.explode(F.concat(F.transform("lacks", lambda x: F.struct(x.alias("x"), F.lit(True).alias("lacked"))), F.transform("adds", lambda x: F.struct(x.alias("x"), F.lit(False).alias("lacked"))))).alias("d"))
-    often = told.groupBy("pivot", "d.x", "d.lacked").agg(F.count("*").alias("df")).join(sized, "pivot").where(F.col("df") * 2 > F.col("group"))
+    often = told.groupBy("pivot", "d.x", "d.lacked").agg(F.count("*").alias("df")).join(small(sized, sized.count()), "pivot").where(F.col("df") * 2 > F.col("group"))
     # at most twice as many as the mean difference has
     listed = lambda lacked: F.coalesce(F.collect_list(F.when(F.col("lacked") == lacked, F.col("x"))), F.array().cast("array<bigint>"))
     core = cut(often.groupBy("pivot").agg(listed(True).alias("not_core"), listed(False).alias("more_core")))
