@@ -71,3 +71,30 @@ def unaccounted(files: DataFrame, directives: DataFrame) -> DataFrame:
 def sealed(canonical: Column, salt: str = "") -> Column:
     """The commitment to a manifest's canonical text."""
     return F.sha2(F.concat(F.lit(salt), canonical, F.lit("\n")), 256)
+
+
+def split_verdict(files: DataFrame, declared: DataFrame, plan: DataFrame) -> DataFrame:
+    """(manifest, verdict): the first gate that each manifest's split plan fails, or ``passed``.
+
+    ``files``: manifest, path, sha256; ``declared``: manifest, declared (its pack hash),
+    children (how many); ``plan``: manifest, position, path, child, transform.  The gates in
+    order: at least two children, the declared hash, every file in the plan, and then the
+    first directive, by position, that names a child out of range or a path that is no
+    file.  A manifest without files has the hash of none; directives of no manifest are ignored.
+    """
+    marked = files.select("manifest", "path", F.lit(1).alias("held"), F.lit(0).alias("told")).unionByName(
+        plan.select("manifest", "path", F.lit(0).alias("held"), F.lit(1).alias("told"))
+    )
+    paths = marked.groupBy("manifest", "path").agg(F.max("held").alias("held"), F.max("told").alias("told"))
+    silent = paths.groupBy("manifest").agg(F.bool_or((F.col("held") == 1) & (F.col("told") == 0)).alias("silent"))
+    directives = plan.where("transform <> 'drop'").join(declared.select("manifest", "children"), "manifest").join(paths.select("manifest", "path", "held"), ["manifest", "path"])
+    beyond = (F.col("child") < 0) | (F.col("child") >= F.col("children"))
+    error = F.when(beyond, "child out of range").when(F.col("held") == 0, "unknown source")
+    wrong = directives.select("manifest", "position", error.alias("error")).where("error IS NOT NULL").groupBy("manifest").agg(F.min_by("error", "position").alias("error"))
+    hashes = pack_hash(files, "manifest").select("manifest", "pack_hash")
+    none = F.sha2(F.lit(""), 256)
+    verdict = (
+        F.when(F.col("children") < 2, "fewer than two children").when(~F.coalesce("pack_hash", none).eqNullSafe(F.col("declared")), "integrity")
+        .when(F.col("silent"), "silent split").otherwise(F.coalesce("error", F.lit("passed")))
+    )
+    return declared.join(hashes, "manifest", "left").join(silent, "manifest", "left").join(wrong, "manifest", "left").select("manifest", verdict.alias("verdict"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import artifacts, governance, knowledge, retrieval
+from stratalith.plans import artifacts, bricks, governance, knowledge, retrieval
 
-MODULES = (knowledge, retrieval, artifacts, governance)
+MODULES = (knowledge, retrieval, artifacts, governance, bricks)
 
 
 def queries() -> dict:
