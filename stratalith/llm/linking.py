@@ -131,6 +131,17 @@ def _overlap_bound(bits: str, size: str) -> Column:
     return both + F.least(F.col(size + "x") - ones(x), F.col(size + "y") - ones(y))
 
 
+def _short(values: Column) -> Column:
+    """The distinct 32-bit hashes of the values."""
+    return F.array_distinct(F.transform(values, lambda x: F.hash(x)))
+
+
+def _short_overlap(column: str, size: str) -> Column:
+    """At least the number of values that x and y have in common, by their short hashes: as many as fell together in x may be missing from the common ones."""
+    x, y = F.col(column + "x"), F.col(column + "y")
+    return F.size(F.array_intersect(x, y)) + F.col(size + "x") - F.size(x)
+
+
 def _by_differences(torn: DataFrame, apart: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Pairs of crowded bands that the differences from the core do not rule out."""
     members = torn.where(F.col("members") > CROWD).select("pivot", "rep", "c").distinct()
@@ -144,19 +155,21 @@ def _by_differences(torn: DataFrame, apart: DataFrame, hubs: DataFrame, percent:
     # of its added elements a member shares so many with any partner; of the lacked ones, if it shares no added one, so many
     least_added = F.greatest(F.lit(1), up(percent * e - (100 - percent) * q, 100))
     least_lacked = F.when(F.col("far"), F.greatest(F.lit(1), up(v - spare, percent), up(v + vm - spare, both))).otherwise(F.floor((v - vm) / both) + 1)
+    kept = ["rep", "c", "a", "e", "v", "far", "la", "ad", "lacks", "adds"]
+    whole = sized.withColumns({"lacks": _short(F.col("lacks")), "adds": _short(F.col("adds"))}).select("pivot", "np", *kept)
     found = None
     for column, size, least, use in (("adds", e, least_added, F.lit(True)), ("lacks", a, least_lacked, percent * e <= (100 - percent) * q)):
-        kept = ["rep", "c", "a", "e", "v", "far", "la", "ad", "lacks", "adds"]
-        rows = sized.where(use & (size >= least)).select("pivot", "np", *kept, (size - least + 1).alias("reach"), size.alias("size"), F.explode(column).alias("x"))
+        # the differences themselves only travel with the elements that are looked up
+        rows = sized.where(use & (size >= least)).select("pivot", "rep", "far", (size - least + 1).alias("reach"), size.alias("size"), F.explode(column).alias("x"))
         often = rows.groupBy("pivot", "x").agg(F.count("*").alias("df"), F.max("far").alias("some_far")).where("df > 1 AND some_far").select("pivot", "x", "df")
         own = Window.partitionBy("pivot", "rep")
         # elements that no other member has come first in the order of rarity and meet nothing
         ranked = rows.join(often, ["pivot", "x"]).withColumns({"rank": F.row_number().over(own.orderBy("df", "x")), "met": F.count("*").over(own)})
-        taken, _ = stash(ranked.where(F.col("rank") <= F.col("reach") - (F.col("size") - F.col("met"))).select("pivot", "x", "np", *kept))
+        taken, _ = stash(ranked.where(F.col("rank") <= F.col("reach") - (F.col("size") - F.col("met"))).select("pivot", "x", "rep").join(whole, ["pivot", "rep"]))
         x, y = (taken.select("pivot", "x", "np", *(F.col(c).alias(c + side) for c in kept)) for side in "xy")
         need = F.col("vx") + F.col("vy") - (100 - percent) * F.col("np")
         bound = _overlap_bound("la", "a") + _overlap_bound("ad", "e")
-        overlap = F.size(F.array_intersect("lacksx", "lacksy")) + F.size(F.array_intersect("addsx", "addsy"))
+        overlap = _short_overlap("lacks", "a") + _short_overlap("adds", "e")
         pairs = (
             x.where("farx").join(y.drop("np"), ["pivot", "x"])
             .where((F.col("cx") != F.col("cy")) & (~F.col("fary") | (F.col("repx") < F.col("repy"))) & (need <= both * bound) & (need <= both * overlap))
