@@ -37,3 +37,8 @@ DOCUMENTS = {"documents": "SELECT i AS doc_id, t AS text FROM texts"}
 @pytest.mark.parametrize("name", ["claim_extract", "claim_traceability"])
 def test_queries_of_sentences(spark, tmp_path, name):
     assert differences(spark, tmp_path, name, DOCUMENTS) == []
+
+
+def test_compile_bricks(spark, tmp_path):
+    pages = "SELECT i AS page_id, 'u' || i AS url, '<h1>Head ' || i || '</h1><p>' || t || '</p>' AS html FROM texts"
+    assert differences(spark, tmp_path, "compile_bricks", {"pages": pages}) == []
