@@ -34,7 +34,7 @@ def differences(spark, folder, name: str, tables: dict[str, str]) -> list:
 DOCUMENTS = {"documents": "SELECT i AS doc_id, t AS text FROM texts"}
 
 
-@pytest.mark.parametrize("name", ["claim_extract", "claim_traceability", "compile_packs"])
+@pytest.mark.parametrize("name", ["claim_extract", "claim_traceability", "compile_packs", "new_sentences"])
 def test_queries_of_sentences(spark, tmp_path, name):
     assert differences(spark, tmp_path, name, DOCUMENTS) == []
 
