@@ -39,25 +39,30 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 5) -> Da
 
     Among equally short paths the least sequence of (rel, id) wins, as a walk that takes
     neighbours in that order finds it.  Strength multiplies along the path.
+    The goals of a start share one walk, which ends with the last of them.
     """
     strength = F.col("strength") if "strength" in edges.columns else F.lit(1.0)
     step = edges.select(F.col("src").alias("at"), F.struct("rel", F.col("dst").alias("id")).alias("hop"), strength.alias("s"))
     hop = "array<struct<rel:string,id:string>>"
-    frontier = pairs.select("start", "goal").distinct().select("start", "goal", F.col("start").alias("at"), F.array().cast(hop).alias("path"), F.lit(1.0).alias("strength"))
-    seen = cut(frontier.select("start", "goal", "at"))
-    found = frontier.where("start = goal")
-    frontier = cut(frontier.where("start <> goal"))
+    none = [F.array().cast(hop).alias("path"), F.lit(1.0).alias("strength")]
+    pairs = cut(pairs.select("start", "goal").distinct())
+    found = pairs.where("start = goal").select("start", "goal", *none)
+    missing = pairs.where("start <> goal")
+    frontier = missing.select("start", F.col("start").alias("at")).distinct().select("start", "at", *none)
+    seen = frontier.select("start", "at")
     for _ in range(max_edges):
         ahead = frontier.join(step, "at").select(
-            "start", "goal", F.col("hop.id").alias("at"), F.concat("path", F.array(F.col("hop").cast("struct<rel:string,id:string>"))).alias("path"), (F.col("strength") * F.col("s")).alias("strength")
+            "start", F.col("hop.id").alias("at"), F.concat("path", F.array(F.col("hop").cast("struct<rel:string,id:string>"))).alias("path"), (F.col("strength") * F.col("s")).alias("strength")
         )
-        best = ahead.groupBy("start", "goal", "at").agg(F.min(F.struct("path", "strength")).alias("b")).select("start", "goal", "at", "b.path", "b.strength")
-        frontier = cut(best.join(seen, ["start", "goal", "at"], "left_anti"))
-        found = found.unionByName(frontier.where("at = goal"))
-        frontier = frontier.where("at <> goal")
+        best = ahead.groupBy("start", "at").agg(F.min(F.struct("path", "strength")).alias("b")).select("start", "at", "b.path", "b.strength")
+        frontier = cut(best.join(seen, ["start", "at"], "left_anti"))
+        reached = frontier.withColumnRenamed("at", "goal")
+        found = found.unionByName(missing.join(reached, ["start", "goal"]).select("start", "goal", "path", "strength"))
+        missing = cut(missing.join(reached, ["start", "goal"], "left_anti"))
+        seen = seen.unionByName(frontier.select("start", "at"))
+        frontier = frontier.join(missing.select("start").distinct(), "start", "left_semi")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("start", "goal", "at"))
     return found.select("start", "goal", "path", "strength")
 
 
