@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from stratalith.functions import text as T
 
 SPACE = " \t\n\r\x0b\x0c"
-HEADING = r"(?md)^#{1,6}\s+(.+)$"
-BULLET = r"(?md)^[\-*•]\s+(.+)$"
-NUMBERED = r"(?md)^\d+[.)]\s+(.+)$"
-IS = r"(?i)([A-Z][a-zA-Z\s]+)\s+is\s+(.+?)\."
-#: ``IS``, tried only where a run of letters and spaces begins: within a run it matches there or nowhere.
-IS_FROM_RUN = r"(?id)(?:\G|[^a-zA-Z\s])\s*" + IS.removeprefix("(?i)")
-COLON = r"(?md)^([A-Z][a-zA-Z\s]++):\s+(.+)$"
+#: Blanks and letters as the SQL's patterns know them: no vertical tab, and without case also the long s and the Kelvin sign.
+_B, _L = r"[ \t\n\f\r]", r"a-zA-Z\x{17F}\x{212A}"
+#: Headings are told line by line: their blanks hold no line feed.
+HEADING = r"(?md)^#{1,6}[ \t\f\r]+(.+)$"
+BULLET = rf"(?md)^[\-*•]{_B}+(.+)$"
+NUMBERED = rf"(?md)^\d+[.)]{_B}+(.+)$"
+_IS = rf"([{_L}][{_L} \t\n\f\r]+){_B}+[iI][sS\x{{17F}}]{_B}+(.+?)\."
+IS = "(?d)" + _IS
+#: ``IS``, tried only where a run of letters and blanks begins: within a run it matches there or nowhere.
+IS_FROM_RUN = rf"(?d)(?:\G|[^{_L} \t\n\f\r]){_B}*" + _IS
+COLON = rf"(?md)^([A-Z][a-zA-Z \t\n\f\r]++):{_B}+(.+)$"
 
 
 def stripped(text: Column) -> Column:
@@ -31,7 +35,9 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 def markdown(html: Column) -> Column:
     """Headings, list items and paragraphs of a page as Markdown lines, other markup dropped."""
-    out = F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", "")
+    out = html
+    for dropped in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<!--.*?-->"):
+        out = F.regexp_replace(out, "(?s)" + dropped, "")
     out = F.regexp_replace(out, r"<h([1-6])[^>]*>", "\n## ")
     out = F.regexp_replace(F.regexp_replace(out, r"<li[^>]*>", "\n- "), r"<p>|<br>|</(?:h[1-6]|li|p|div)>", "\n")
     return F.regexp_replace(out, r"<[^>]*>", "")

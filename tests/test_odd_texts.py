@@ -42,3 +42,19 @@ def test_queries_of_sentences(spark, tmp_path, name):
 def test_compile_bricks(spark, tmp_path):
     pages = "SELECT i AS page_id, 'u' || i AS url, '<h1>Head ' || i || '</h1><p>' || t || '</p>' AS html FROM texts"
     assert differences(spark, tmp_path, "compile_bricks", {"pages": pages}) == []
+
+
+def test_compile_bricks_of_odd_pages(spark, tmp_path):
+    """Markup within dropped markup, and blanks and letters that only one kind of pattern takes for such."""
+    rows = [
+        "'<!-- <script> --> not shown </script> a page that begins after it. -->'",
+        "'<style> <!-- </style> A claim after a broken comment. --> and one more claim of this page.'",
+        "'<h1>' || chr(10) || 'The line after an empty heading.</h1>'", "'##' || chr(11) || 'No heading after a vertical tab.'",
+        "'- ' || chr(11) || 'an item with a vertical tab' || chr(10) || '-' || chr(11) || 'no item at all, it says'",
+        "'1. an item' || chr(13) || ' with a carriage return' || chr(13) || chr(10) || '2) another item here'",
+        "'The word is a thing' || chr(13) || 'of two lines. A term' || chr(11) || 'here is a longer thing.'",
+        "'Mi' || chr(383) || 's K i' || chr(383) || ' a long s in the verb. The ' || chr(8490) || ' is a sign of degrees.'",
+        "'Term' || chr(11) || 'one: what is said of it. ' || chr(10) || 'Term two:' || chr(12) || 'what is said of it'", "''", "NULL",
+    ]
+    pages = f"SELECT i AS page_id, 'u' || i AS url, html FROM (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate(rows))}) t(i, html)"
+    assert differences(spark, tmp_path, "compile_bricks", {"pages": pages}) == []
