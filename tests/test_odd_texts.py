@@ -60,7 +60,7 @@ def test_compile_bricks_of_odd_pages(spark, tmp_path):
     assert differences(spark, tmp_path, "compile_bricks", {"pages": pages}) == []
 
 
-@pytest.mark.parametrize("name", ["claim_traceability", "compile_packs"])
+@pytest.mark.parametrize("name", ["claim_traceability", "compile_packs", "new_sentences"])
 def test_mark_of_sentences(spark, tmp_path, name):
     mark = "SELECT i AS doc_id, 'A sentence that ends at' || chr(1) || 'the mark that is in it. ' || chr(1) || ' And one more of document ' || i AS text FROM range(3) t(i)"
     long = "SELECT 3, string_agg('Sentence of the text ' || i || '.', chr(1) ORDER BY i) FROM range(9) t(i)"
