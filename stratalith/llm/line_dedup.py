@@ -39,7 +39,7 @@ _LEAST_ID = -(2**63)
 
 def line_shingles(line: Column) -> Column:
     """Sorted distinct hashes of the characters from each word's beginning on, and through each longer word; none for a blank line."""
-    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S(?=\S{{{SHINGLE}}})|\S+)"), F.lit(1))
+    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}+))(?:\S{{1,{SHINGLE}}}+(?!\S)|\S)"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
@@ -68,6 +68,12 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(_LEAST_ID)).alias("id"), F.xxhash64(text).alias("th"), lines.alias("lines"))
 
 
+def _banded(hashed: DataFrame) -> DataFrame:
+    """(id, th, pos, lh, l2, bands) of the lines that are not blank; a filter on the bands would be pushed below them and make them twice."""
+    written = hashed.where(F.col("line").rlike(r"\S"))
+    return written.select("id", "th", "pos", "lh", "l2", _bound(line_shingles(F.col("line")), band_keys).alias("bands"))
+
+
 def _place() -> Column:
     """One ordered number for (id, pos)."""
     return F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
@@ -84,8 +90,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = _documents(docs, id_col, text_col)
     placed = base.select("id", "th", F.posexplode("lines").alias("pos", "line"))
     hashed = placed.select("id", "th", "pos", F.xxhash64("line").alias("lh"), F.xxhash64(F.lit(7), "line").alias("l2"), "line")
-    shingled = hashed.select("id", "th", "pos", "lh", "l2", _bound(line_shingles(F.col("line")), band_keys).alias("bands")).where(F.size("bands") > 0)
-    lined, _ = stash(shingled)
+    lined, _ = stash(_banded(hashed))
     lines, _ = stash(lined.groupBy("lh", "l2").agg(F.min(_place()).alias("at"), F.count("*").alias("copies")))
     # one 64-bit number stands for a line among its neighbours; lines that would share one are compared as a whole only
     clashing = cut(lines.groupBy("lh").agg(F.count("*").alias("c")).where("c > 1").select("lh"))

@@ -514,3 +514,11 @@ def test_very_long_texts(spark, reference):
     assert sums == {i: len(reference.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
     assert pii.pseudonymise(frame(spark, rows), key="k").count() == 5
     assert line_dedup.deduplicated_lines(frame(spark, rows)).count() == 5
+
+
+def test_line_bands_are_made_once(spark):
+    lines = spark.createDataFrame([(1, 2, 0, 3, 4, "a line of words"), (1, 2, 1, 5, 6, " \t"), (1, 2, 2, 7, 8, "x" * 40)], "id long, th long, pos int, lh long, l2 long, line string")
+    made = line_dedup._banded(lines)
+    assert [(r.pos, len(r.bands) > 0) for r in made.orderBy("pos").collect()] == [(0, True), (2, True)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
