@@ -66,7 +66,9 @@ def compile_packs(spark, d):
     text = F.col("text")
     rated = F.transform(T.claims(text), lambda c: F.struct(c.alias("text"), F.lit(0.5).alias("confidence")))
     held = table(spark, d, "documents").select(F.col("doc_id").alias("pack_id"), T.title(text).alias("title"), T.summary(text).alias("summary"), rated.alias("claims"))
-    return bricks.pack_bricks(held).withColumns({"summary": F.sha2("summary", 256), "parent": F.coalesce("parent", F.lit(""))})
+    # the parent of a claim is null where its document has no id
+    parent = F.when(F.col("kind") == "concept", "").otherwise(F.col("parent"))
+    return bricks.pack_bricks(held).withColumns({"summary": F.sha2("summary", 256), "parent": parent})
 
 
 @query("""WITH t AS (SELECT a.conv_id, a.turn, a.text AS asked, b.text AS said FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),

@@ -65,3 +65,9 @@ def test_mark_of_sentences(spark, tmp_path, name):
     mark = "SELECT i AS doc_id, 'A sentence that ends at' || chr(1) || 'the mark that is in it. ' || chr(1) || ' And one more of document ' || i AS text FROM range(3) t(i)"
     long = "SELECT 3, string_agg('Sentence of the text ' || i || '.', chr(1) ORDER BY i) FROM range(9) t(i)"
     assert differences(spark, tmp_path, name, {"documents": f"{mark} UNION ALL {long}"}) == []
+
+
+@pytest.mark.parametrize("name", ["compile_packs", "new_sentences"])
+def test_documents_without_id(spark, tmp_path, name):
+    documents = "SELECT CASE WHEN i % 3 > 0 THEN i % 5 END AS doc_id, t AS text FROM texts UNION ALL SELECT NULL, t FROM texts WHERE i < 6"
+    assert differences(spark, tmp_path, name, {"documents": documents}) == []
