@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm.common import cut, stash
-from stratalith.llm.linking import linked, shared_spots, small
+from stratalith.llm.linking import linked, only_ids, shared_spots, small
 
 SHINGLE = 10
 #: Neighbours in a key of a short line; a fifth would lose links at 0.8.
@@ -34,6 +34,8 @@ RING = 4
 SHORT, LONG = 28, 23
 #: Rows of a table of needed lines that is broadcast at most (50 MB).
 BROADCAST_LINES = 1 << 20
+#: What ``\s`` of a pattern stands for.
+BLANKS = " \t\n\x0b\f\r"
 _LEAST_ID = -(2**63)
 
 
@@ -46,14 +48,16 @@ def line_shingles(line: Column) -> Column:
 def band_keys(h: Column) -> Column:
     """Band keys of a sorted shingle set by its size."""
     n = F.size(h)
-    eighth = lambda i: F.shiftright(F.get(h, i), 61)
-    opens = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(eighth(i - 1) != eighth(i - 2)))
-    ring = lambda s: F.transform(h, lambda x, i: F.xxhash64(F.slice(s, i + 1, F.lit(RING))))
+    # neighbours by ``get``: a slice copies the whole array; one beyond the end is null and leaves the hash as it is
+    near = lambda s, i, n: [F.get(s, i + j) for j in range(1, n)]
+    opens = lambda x, i: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(h, i - 1)), 61) != 0, F.lit(True))
+    ring = lambda s: F.transform(h, lambda x, i: F.xxhash64(x, *near(s, i, RING)))
+    eighths = F.transform(h, lambda x, i: F.when(opens(x, i), F.xxhash64(x, *near(h, i, 3), F.shiftright(x, 61))))
     none = F.array().cast("array<bigint>")
     return F.concat(
         F.when(n.between(1, 3), F.array(F.xxhash64(h))).otherwise(none),
         F.when(n.between(RING, SHORT), _bound(F.concat(h, F.slice(h, 1, RING - 1)), ring)).otherwise(none),
-        F.when(n >= LONG, F.transform(opens, lambda i: F.xxhash64(F.slice(h, i, F.lit(3)), eighth(i - 1)))).otherwise(none),
+        F.when(n >= LONG, F.array_compact(eighths)).otherwise(none),
     )
 
 
@@ -70,7 +74,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _banded(hashed: DataFrame) -> DataFrame:
     """(id, th, pos, lh, l2, bands) of the lines that are not blank; a filter on the bands would be pushed below them and make them twice."""
-    written = hashed.where(F.col("line").rlike(r"\S"))
+    written = hashed.where(F.ltrim("line", F.lit(BLANKS)) != "")
     return written.select("id", "th", "pos", "lh", "l2", _bound(line_shingles(F.col("line")), band_keys).alias("bands"))
 
 
@@ -98,12 +102,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = base.groupBy("id", "th").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     texts = hashed if again else base.dropDuplicates(["id", "th"]).select("id", "th", F.posexplode("lines").alias("pos", "line")).withColumn("lh", F.xxhash64("line"))
 
-    def fetch(ids: DataFrame, n: int) -> DataFrame:
-        wanted = lines.join(small(ids.withColumnRenamed("id", "lh"), n), "lh").select("lh", "at")
-        rows = texts.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lh").where(_place() == F.col("at"))
-        return rows.select(F.col("lh").alias("id"), line_shingles(F.col("line")).alias("set"))
+    # one pass over the texts for all lines that share a band key
+    ids = cut(spots.select("rep").distinct().toDF("lh"))
+    n = ids.count()
+    wanted = lines.join(small(ids, n), "lh").select("lh", "at")
+    rows = texts.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lh").where(_place() == F.col("at"))
+    sets, _ = stash(rows.select(F.col("lh").alias("id"), line_shingles(F.col("line")).alias("set")))
 
-    found = linked(spots, fetch, percent).select(F.col("node").alias("lh"), "component")
+    found = linked(spots, lambda ids, n: only_ids(sets, "id", ids, n), percent).select(F.col("node").alias("lh"), "component")
     member = lines.join(found, "lh", "left").where("copies > 1 OR component IS NOT NULL")
     member = member.withColumns({"root": F.coalesce("component", "lh"), "alone": F.when(F.col("component").isNull(), F.col("l2"))})
     first = member.groupBy("root", "alone").agg(F.min("at").alias("first"))

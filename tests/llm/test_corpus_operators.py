@@ -522,3 +522,19 @@ def test_line_bands_are_made_once(spark):
     assert [(r.pos, len(r.bands) > 0) for r in made.orderBy("pos").collect()] == [(0, True), (2, True)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_lines_are_cut_once_for_bands_and_once_for_sets(spark, monkeypatch):
+    """Pivots, members and crowded bands take their sets from one table, and neighbours in a band come without copies of the set."""
+    cut, real = [], line_dedup.line_shingles
+    monkeypatch.setattr(line_dedup, "line_shingles", lambda line: cut.append(1) or real(line))
+    rows = [(i, " ".join(f"word{j}" for j in range(40)) + f" {i % 7}\n{i} another") for i in range(20)]
+    out = {r.doc_id: r.removed for r in line_dedup.deduplicated_lines(frame(spark, rows)).collect()}
+    assert len(cut) == 2 and out[0] == [] and all(0 in out[i] for i in range(1, 20))
+    sets = [[], [5], [-3, 5], [1, 2, 3], [-9, 1, 2, 3], list(range(-14, 9)), [x << 58 for x in range(-30, 30)], [-(2**63), *range(30), 2**63 - 1]]
+    keys = spark.createDataFrame([(s,) for s in sets], "h array<long>").select("h", line_dedup.band_keys(F.col("h")).alias("bands"))
+    for h, bands in keys.collect():
+        ring = len(h) if 4 <= len(h) <= 28 else 0
+        assert len(bands) == (1 <= len(h) <= 3) + ring + (len({x >> 61 for x in h}) if len(h) >= 23 else 0)
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("slice(") == 1
